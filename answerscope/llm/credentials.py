@@ -40,7 +40,8 @@ LEAST_VALUE = 6
 #: Prefix sums go block by block, for an array appended to k times is copied k times.
 BLOCK = 256
 
-NONE = F.expr("cast(array() as array<struct<start: int, `end`: int>>)")
+def no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start: int, `end`: int>>)")
 
 
 def running(lengths: Column) -> Column:
@@ -71,13 +72,13 @@ def found(text: Column, pattern: str) -> Column:
         return F.zip_with(ends, size, lambda e, s: F.struct((e - s).alias("start"), e.alias("end")))
 
     out = bind(gaps, lambda g: bind(sizes, lambda s: spans(g, s)))
-    return F.when(text.rlike(pattern), out).otherwise(NONE)
+    return F.when(text.rlike(pattern), out).otherwise(no_spans())
 
 
 def assigned(text: Column) -> Column:
     values = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.length)
     kept = F.filter(F.zip_with(found(text, ASSIGN), values, lambda s, n: F.struct(s.alias("span"), n.alias("n"))), lambda x: x["n"] >= LEAST_VALUE)
-    return F.when(text.rlike(ASSIGN), F.transform(kept, lambda x: x["span"])).otherwise(NONE)
+    return F.when(text.rlike(ASSIGN), F.transform(kept, lambda x: x["span"])).otherwise(no_spans())
 
 
 def near(parts: Column, span: Column) -> Column:
@@ -142,7 +143,7 @@ def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
         longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.array_append(acc, fresh(x)))
 
-    merged = F.aggregate(tagged(spans, KINDS), NONE, join)
+    merged = F.aggregate(tagged(spans, KINDS), no_spans(), join)
 
     def rebuilt(m: Column) -> Column:
         gap = F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.substr(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get(m, i)["start"], F.length(text)) - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))))
