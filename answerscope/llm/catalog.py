@@ -2,6 +2,7 @@
 
 from .credentials import op6_secret_scan
 from .sharding import op3_sharding
+from .simhash import op8_simhash_bk
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk)}
 ORACLE_SQL: dict[str, str] = {}
