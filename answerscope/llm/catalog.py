@@ -1,8 +1,9 @@
 """The operators' queries and, where SQL can express one, its SQL."""
 
 from .credentials import op6_secret_scan
+from .decontamination import OP9_SQL, op9_benchmark_suffixes
 from .sharding import op3_sharding
 from .simhash import op8_simhash_bk
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk, op9_benchmark_suffixes)}
+ORACLE_SQL = {"op9_benchmark_suffixes": OP9_SQL}
