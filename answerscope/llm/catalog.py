@@ -2,8 +2,9 @@
 
 from .credentials import op6_secret_scan
 from .decontamination import OP9_SQL, op9_benchmark_suffixes
+from .packing import op10_packing
 from .sharding import op3_sharding
 from .simhash import op8_simhash_bk
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk, op9_benchmark_suffixes)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk, op9_benchmark_suffixes, op10_packing)}
 ORACLE_SQL = {"op9_benchmark_suffixes": OP9_SQL}
