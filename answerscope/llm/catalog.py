@@ -2,9 +2,24 @@
 
 from .credentials import op6_secret_scan
 from .decontamination import OP9_SQL, op9_benchmark_suffixes
+from .language import op5_language_ecoc
+from .media import op1_media_wav
 from .packing import op10_packing
 from .sharding import op3_sharding
 from .simhash import op8_simhash_bk
+from .token_cache import op2_token_cache
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_secret_scan, op8_simhash_bk, op9_benchmark_suffixes, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_wav,
+        op2_token_cache,
+        op3_sharding,
+        op5_language_ecoc,
+        op6_secret_scan,
+        op8_simhash_bk,
+        op9_benchmark_suffixes,
+        op10_packing,
+    )
+}
 ORACLE_SQL = {"op9_benchmark_suffixes": OP9_SQL}
