@@ -2,7 +2,9 @@
 
 from .credentials import op6_secret_scan
 from .decontamination import OP9_SQL, op9_benchmark_suffixes
+from .html_main import op7_html_subsequence
 from .language import op5_language_ecoc
+from .licenses import OP4_SQL, op4_license_rules
 from .media import op1_media_wav
 from .packing import op10_packing
 from .sharding import op3_sharding
@@ -15,11 +17,13 @@ QUERIES = {
         op1_media_wav,
         op2_token_cache,
         op3_sharding,
+        op4_license_rules,
         op5_language_ecoc,
         op6_secret_scan,
+        op7_html_subsequence,
         op8_simhash_bk,
         op9_benchmark_suffixes,
         op10_packing,
     )
 }
-ORACLE_SQL = {"op9_benchmark_suffixes": OP9_SQL}
+ORACLE_SQL = {"op4_license_rules": OP4_SQL, "op9_benchmark_suffixes": OP9_SQL}
