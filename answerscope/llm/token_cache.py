@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, stored, table
 
 SCHEMA = "digest binary, version string, n_tokens long"
 LIMIT = 4096
@@ -102,7 +102,7 @@ def fill(docs: DataFrame, cache_path: str, model_path: str, text_col: str = "tex
 def counted(docs: DataFrame, cache_path: str, model_path: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, every count read from the cache."""
     version = fill(docs, cache_path, model_path, text_col)
-    cache = read_cache(docs.sparkSession, cache_path, version).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n"))
+    cache = stored(read_cache(docs.sparkSession, cache_path, version), "token_counts").select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n"))
     rows = docs.withColumn("__digest", digest(F.col(text_col)))
     kept = [c for c in docs.columns if c != "n_tokens"]
     return rows.join(cache, "__digest").select(*kept, F.col("__n").alias("n_tokens"))
@@ -116,4 +116,5 @@ def op2_token_cache(spark, sf_dir: str) -> DataFrame:
     path = spark.conf.get("answerscope.token_cache", None) or new_path(spark, "token_cache")
     version = fill(docs, path, public_tokenizers.path("piece_bpe_32k.model"))
     keyed = docs.select("doc_id", "n_bytes", digest(F.col("text")).alias("digest"))
-    return keyed.join(read_cache(spark, path, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    # stored, so that the join's sides are plain exchanges and a content of very many documents can be split
+    return keyed.join(stored(read_cache(spark, path, version), "token_counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
