@@ -1,13 +1,13 @@
 """The operators' queries and, where SQL can express one, its SQL."""
 
-from .credentials import op6_secret_scan
+from .credentials import OP6_SQL, op6_secret_scan
 from .decontamination import OP9_SQL, op9_benchmark_suffixes
 from .html_main import op7_html_subsequence
 from .language import op5_language_ecoc
 from .licenses import OP4_SQL, op4_license_rules
 from .media import op1_media_wav
 from .packing import op10_packing
-from .sharding import op3_sharding
+from .sharding import OP3_SQL, op3_sharding
 from .simhash import op8_simhash_bk
 from .token_cache import op2_token_cache
 
@@ -26,4 +26,4 @@ QUERIES = {
         op10_packing,
     )
 }
-ORACLE_SQL = {"op4_license_rules": OP4_SQL, "op9_benchmark_suffixes": OP9_SQL}
+ORACLE_SQL = {"op3_sharding": OP3_SQL, "op6_secret_scan": OP6_SQL, "op4_license_rules": OP4_SQL, "op9_benchmark_suffixes": OP9_SQL}

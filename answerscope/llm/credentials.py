@@ -161,3 +161,29 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(written(s, BASE), 256).alias("base_sha256"),
         written(s, KINDS).alias("spans"),
     )
+
+
+def _runs(pattern: str, kind: str, keep: str = "true", value: str = "0") -> str:
+    """SQL for the spans of one kind: like found(), from the matches and what lies between them."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""select r, '{kind}' kind, e - len(m) s, e from (select r, m, v, sum(len(g) + len(m)) over (partition by r order by i) e from (
+  select r, unnest(ms) m, unnest(vs) v, unnest(gs[1:len(ms)]) g, unnest(range(len(ms))) i from (
+  select r, regexp_extract_all(t, {p}, 0) ms, regexp_extract_all(t, {p}, {value}) vs, string_split_regex(t, {p}) gs from docs where regexp_matches(t, {p})))) where {keep}"""
+
+
+# RE2 has no lookaround: a part that must stand alone is a whole run of the characters that may not touch it.
+OP6_SQL = f"""
+with docs as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+found as materialized ({_runs(ASSIGN, "assign", f"len(v) >= {LEAST_VALUE}", "2")}
+  union all {_runs("AKIA[A-Z0-9]+", "access", "len(m) >= 20")}
+  union all {_runs("[0-9a-f]+", "hex", "len(m) >= 24")}
+  union all {_runs("[A-Za-z0-9+/=]+", "weak_secret", "len(m) = 40 and not contains(m, '=')")}
+  union all {_runs("[A-Z0-9]+", "weak_access", "len(m) = 20 and m[1:4] in ('ASIA', 'AROA', 'AIDA', 'AGPA', 'ANPA')")}
+  union all {_runs(ENDPOINT, "endpoint")}),
+linked as (select *, exists (select 1 from found b where b.r = a.r and b.kind in ('access', 'weak_access') and b.s <= a.e + {SCOPE} and b.e >= a.s - {SCOPE}) ids,
+  exists (select 1 from found b where b.r = a.r and b.kind in ('assign', 'hex', 'weak_secret') and b.s <= a.e + {SCOPE} and b.e >= a.s - {SCOPE}) keys from found a),
+kept as (select *, list_position([{", ".join(f"'{k}'" for k in KINDS)}], kind) nth, kind || ':' || s || ':' || e as w from linked
+  where kind in ('assign', 'access', 'hex') or (kind = 'weak_secret' and ids) or (kind = 'weak_access' and keys) or (kind = 'endpoint' and ids and keys)),
+sums as (select r, count(*) filter (kind = 'assign') a, count(*) filter (kind = 'access') c, count(*) filter (kind = 'hex') h, string_agg(w, ',' order by s, nth) filter (nth <= 3) b, string_agg(w, ',' order by s, nth) x from kept group by r)
+select doc_id, coalesce(a, 0) n_assign, coalesce(c, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(x, '') spans from docs left join sums using (r)
+"""

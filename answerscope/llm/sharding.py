@@ -61,3 +61,24 @@ def op3_sharding(spark, sf_dir: str) -> DataFrame:
     return placed(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _crc_table() -> str:
+    """The 256 steps of CRC-32 (reversed polynomial), as a SQL list."""
+    steps = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        steps.append(n)
+    return "[" + ", ".join(map(str, steps)) + "]::bigint[]"
+
+
+# Bytes come from the hex form; the CRC is a fold over them that starts with all ones.
+OP3_SQL = f"""
+with bytes as (select row_number() over () r, doc_id, octet_length(encode(coalesce(text, ''))) n, hex(encode(coalesce(text, ''))) h from documents),
+codes as (select r, doc_id, n + 1 as size, list_concat([4294967295], list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint))) b from bytes),
+crcs as (select r, doc_id, cast(size as bigint) size, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, list_extract({_crc_table()}, (xor(c, x) & 255) + 1)))) crc from codes),
+placed as (select *, sum(size) over o - size before, sum(size) over () total from crcs window o as (order by doc_id nulls first, size, crc, r rows unbounded preceding)),
+shards as (select *, cast(least(7, before * 8 // total) as int) shard from placed)
+select doc_id, size, cast(crc as bigint) text_crc32, 'bytes' law, shard, row_number() over (partition by shard order by doc_id nulls first, size, crc, r) - 1 slot, cast(null as int) grown_shard from shards
+"""
