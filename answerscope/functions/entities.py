@@ -1,7 +1,7 @@
 """Dictionary matching of entities in text, as column expressions over a small dictionary.
 
 The dictionary is written into the plan as literals: every alias is one pattern, its hits come from the lengths of what
-lies before them, and overlaps are settled by one fold over the hits, longest first, then leftmost, then in dictionary
+lies between them, and overlaps are settled by one fold over the hits, longest first, then leftmost, then in dictionary
 order. Word characters are Unicode's; an apostrophe before an alias blocks it.
 """
 
@@ -51,18 +51,18 @@ def pattern(alias: str, case_sensitive: bool) -> str:
     return flags + r"(?<![\w'’])" + re.sub(r"([^\w\s]|_)", r"\\\1", alias) + r"(?!\w)"
 
 
-def _hits(text: Column, p: str, nth: int) -> Column:
-    """Hits of one alias: gaps from a split, lengths from the matches."""
+def _hits(text: Column, alias: str, case_sensitive: bool, nth: int) -> Column:
+    """Hits of one alias, from the lengths of what lies between them; every match is as long as the alias."""
+    p, size = pattern(alias, case_sensitive), len(alias)
     gaps = F.transform(F.split(text, p, -1), F.length)
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.length)
 
-    def fold(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"]
-        return F.array_append(acc, F.struct(start.alias("start"), (start + x["s"]).alias("end"), F.lit(nth).alias("nth")))
+    def fold(acc: Column, gap: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + gap
+        return F.array_append(acc, F.struct(start.alias("start"), (start + size).alias("end"), F.lit(nth).alias("nth")))
 
-    steps = lambda s: F.zip_with(F.slice(gaps, 1, F.size(s)), s, lambda g, n: F.struct(g.alias("g"), n.alias("s")))
     none = F.expr(f"cast(array() as array<{HIT}>)")
-    return F.when(text.rlike(p), F.aggregate(F.element_at(F.transform(F.array(sizes), steps), 1), none, fold)).otherwise(none)
+    found = F.element_at(F.transform(F.array(gaps), lambda g: F.aggregate(F.slice(g, 1, F.size(g) - 1), none, fold)), 1)
+    return F.when(text.contains(alias), found).otherwise(none) if case_sensitive else found
 
 
 def find_matches(text: Column, brands: list[Brand], unambiguous_only: bool = False) -> Column:
@@ -72,7 +72,7 @@ def find_matches(text: Column, brands: list[Brand], unambiguous_only: bool = Fal
     none = F.expr(f"cast(array() as array<{HIT}>)")
     if not kept:
         return none
-    hits = F.concat(*[_hits(text, pattern(a, b.case_sensitive), n) for n, a, b in kept])
+    hits = F.concat(*[_hits(text, a, b.case_sensitive, n) for n, a, b in kept])
     key = lambda h: F.struct((h["start"] - h["end"]).alias("shorter"), h["start"].alias("start"), h["nth"].alias("nth"), h["end"].alias("end"))
     longest_first = F.transform(F.array_sort(F.transform(hits, key)), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["nth"].alias("nth")))
 

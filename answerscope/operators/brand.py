@@ -30,15 +30,20 @@ def sentence_weights(sentences: DataFrame) -> DataFrame:
 def answer_brands(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
     """answer_id, brand, ai_mentions, pawc, first_mention_pos for each pair that occurs.
 
-    Mentions are counted for each sentence before the join, so that a sentence's weight counts once for a brand.
+    Sentences and mentions go through one exchange by answer, as rows of one table; what a mention needs of its
+    sentence and of its answer are windows over that partitioning, and both groupings keep it.
     """
-    found = mentions.groupBy("answer_id", "brand", "sent_idx").agg(F.count("*").alias("n"))
-    weights = sentence_weights(sentences)
-    sizes = weights.groupBy("answer_id").agg(F.max("n_sents").alias("answer_sents"))
-    joined = found.join(weights, ["answer_id", "sent_idx"], "left").join(sizes, "answer_id", "left")
-    return joined.groupBy("answer_id", "brand").agg(
-        F.sum("n").alias("ai_mentions"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("pawc"),
-        F.try_divide(F.min("sent_idx"), F.max("answer_sents")).alias("first_mention_pos"),
+    rows = sentences.select("answer_id", "sent_idx", F.col("n_words").cast("double").alias("words"), F.lit(None).cast("string").alias("brand"), F.lit(1).alias("s"))
+    rows = rows.unionByName(mentions.where(F.col("brand").isNotNull()).select("answer_id", "sent_idx", F.lit(None).cast("double").alias("words"), "brand", F.lit(0).alias("s")))
+    whole, one = Window.partitionBy("answer_id"), Window.partitionBy("answer_id", "sent_idx")
+    placed = rows.select(
+        "*", F.sum("s").over(whole).alias("n_sents"), F.sum("words").over(whole).alias("all_words"), F.max("words").over(one).alias("own_words")
+    ).where("s = 0")
+    each = placed.groupBy("answer_id", "brand", "sent_idx").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("n_sents", "all_words", "own_words")])
+    weight = F.try_divide(F.col("own_words"), F.col("all_words")) * pawc_weight(F.col("sent_idx"), F.col("n_sents"))
+    return each.groupBy("answer_id", "brand").agg(
+        F.sum("n").alias("ai_mentions"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("pawc"),
+        F.try_divide(F.min("sent_idx"), F.max("n_sents")).alias("first_mention_pos"),
     )
 
 

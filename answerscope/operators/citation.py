@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 
 def labelled(citations: DataFrame, answers: DataFrame, domains: DataFrame) -> DataFrame:
     """Citations with the answer's prompt and pillar, and the domain's labels where it has any."""
@@ -17,46 +19,54 @@ def readable_urls(pages: DataFrame) -> DataFrame:
 
 
 def domain_table(cited: DataFrame, pages: DataFrame, engines: dict[str, str]) -> DataFrame:
-    """Labelled domains with totals and each engine's counts; n counts unlabelled ones too."""
-    marked = cited.join(readable_urls(pages).withColumn("ok", F.lit(True)), "url", "left")
-    own = []
-    for engine, c in engines.items():
-        here = F.col("engine") == engine
-        own += [
-            F.count_if(here).alias(c),
-            F.avg(F.when(here, F.col("rank"))).alias(f"avg_rank_{c}"),
-            F.countDistinct(F.when(here & F.col("ok"), F.col("url"))).alias(f"readable_pages_{c}"),
-        ]
-    total = cited.agg(F.count("*").alias("n"))  # one row
-    by = marked.where(F.col("domain_type").isNotNull() & F.col("authority_tier").isNotNull() & F.col("domain").isNotNull()).groupBy("domain", "domain_type", "authority_tier")
-    table = by.agg(
-        F.count("url").alias("citations"), F.countDistinct("url").alias("unique_pages"), F.countDistinct("prompt_no").alias("prompts"),
-        F.countDistinct("answer_id").alias("answers"), F.avg("rank").alias("avg_rank"), *own,
+    """Labelled domains with totals and each engine's counts; n counts unlabelled ones too.
+
+    Distinct pages, prompts and answers are three groupings that each combine before their exchange; several distinct
+    counts in one aggregate would send every citation once for each of them.
+    """
+    keys = ["domain", "domain_type", "authority_tier"]
+    labelled_ = cited.where(F.col("domain_type").isNotNull() & F.col("authority_tier").isNotNull() & F.col("domain").isNotNull())
+    own = [x for e, c in engines.items() for x in (F.count_if(F.col("engine") == e).alias(f"n_{c}"), F.sum(F.when(F.col("engine") == e, F.col("rank"))).alias(f"r_{c}"))]
+    by_page = labelled_.groupBy(*keys, "url").agg(F.count("url").alias("k"), F.count("rank").alias("ranked"), F.sum("rank").alias("r"), *own)
+    by_page = by_page.join(readable_urls(pages).withColumn("ok", F.lit(True)), "url", "left")
+    sums = by_page.groupBy(*keys).agg(
+        F.sum("k").alias("citations"), F.count("url").alias("unique_pages"), F.try_divide(F.sum("r"), F.sum("ranked")).alias("avg_rank"),
+        *[x for c in engines.values() for x in (
+            F.sum(f"n_{c}").alias(c), F.try_divide(F.sum(f"r_{c}"), F.sum(f"n_{c}")).alias(f"avg_rank_{c}"),
+            F.count_if((F.col(f"n_{c}") > 0) & F.coalesce("ok", F.lit(False))).alias(f"readable_pages_{c}"),
+        )],
     )
-    return table.join(F.broadcast(total))
+    distinct = lambda c, out: labelled_.select("domain", c).distinct().groupBy("domain").agg(F.count(c).alias(out))
+    total = cited.agg(F.count("*").alias("n"))  # one row
+    return sums.join(distinct("prompt_no", "prompts"), "domain").join(distinct("answer_id", "answers"), "domain").join(F.broadcast(total))
 
 
-def page_table(citations: DataFrame, engines: dict[str, str]) -> DataFrame:
-    """A row for each page, ranked by citations and then by url."""
+def page_counts(citations: DataFrame, engines: dict[str, str]) -> DataFrame:
+    """A row for each page: citations in all and by engine, and who cites it."""
     each = citations.groupBy("url", "domain").agg(
         F.count("answer_id").alias("citations"), *[F.count_if(F.col("engine") == e).alias(c) for e, c in engines.items()],
         F.array_join(F.sort_array(F.collect_set("engine")), "+").alias("engines"),
     )
     total = citations.agg(F.count("*").alias("n"))  # one row
-    return ranked(each, [F.desc("citations"), F.asc("url")]).join(F.broadcast(total))
+    return each.join(F.broadcast(total))
+
+
+def page_table(citations: DataFrame, engines: dict[str, str]) -> DataFrame:
+    """Pages ranked by citations and then by url."""
+    return ranked(page_counts(citations, engines), [F.desc("citations"), F.asc("url")])
 
 
-def ranked(df: DataFrame, order: list, out: str = "rank", block: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     """1-based place of every row in one order, without bringing all rows to one task.
 
-    Rows are range-partitioned in that order; the few partition totals give each partition its first place.
+    Rows are range-partitioned in that order and stored once (this runs a job), since a second run may draw other
+    ranges; the few partition totals then give each partition its first place.
     """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy(*order)
-    numbered = parts.withColumn("__n", F.row_number().over(inside))
-    sizes = numbered.groupBy("__part").agg(F.max("__n").alias("__rows"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.drop("__rows")), "__part").withColumn(out, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+    parts = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row for each partition
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return parts.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(out, place).drop("__part", "__before")
 
 
 def cross_engine_pages(pages_top: DataFrame, engines: dict[str, str]) -> DataFrame:

@@ -51,12 +51,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the return flags of the brand's lines; rows stay dealt by answer, as they are joined by it later."""
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    flags = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    least, most = F.min("l_returnflag"), F.max("l_returnflag")
-    label = F.when(least != most, "mixed").when(least == "A", "positive").when(least == "R", "negative").otherwise("neutral")
-    by = flags.groupBy(F.col("l_orderkey").alias("answer_id"), F.col("p_brand").alias("brand")).agg(label.alias("label"))
-    return by.withColumn("score", F.when(F.col("label") == "positive", 1).when(F.col("label") == "negative", -1).otherwise(0))
+    flags = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").repartition("l_orderkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    has = {label: F.max(F.col("l_returnflag") == flag) for label, flag in (("positive", "A"), ("neutral", "N"), ("negative", "R"))}
+    by = flags.groupBy(F.col("l_orderkey").alias("answer_id"), F.col("p_brand").alias("brand")).agg(*[c.alias(k) for k, c in has.items()])
+    several = F.size(F.filter(F.array(*has), lambda x: x)) > 1
+    label = F.when(several, "mixed").when(F.col("positive"), "positive").when(F.col("negative"), "negative").otherwise("neutral")
+    score = F.when(several, 0).when(F.col("positive"), 1).when(F.col("negative"), -1).otherwise(0)
+    return by.select("answer_id", "brand", label.alias("label"), score.alias("score"))
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

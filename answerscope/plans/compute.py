@@ -9,7 +9,7 @@ from .config import Config
 
 
 def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None) -> dict[str, DataFrame]:
-    """Lazily: nothing runs until a table is read or written. Tables used for many results are worth persisting."""
+    """Lazily, but for the pages: their ranks need a stored table. Inputs of many results are worth storing, too."""
     cfg = cfg or Config()
     t = tables
     answers, mentions, citations = t["answers"], t["mentions"], t["citations"]

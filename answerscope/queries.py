@@ -86,8 +86,8 @@ STAR: dict[str, Query] = {
     "source_mix": lambda s, d: facts.source_mix(citation.mix(cited(s, d), "domain_type", by_pillar=True)),
     "overlap_jaccard": lambda s, d: facts.overlap(B.citations(s, d), "F", "O"),
     "top_sites": lambda s, d: facts.top(citation.domain_table(cited(s, d), B.pages(s, d), ENGINES).select("domain", "domain_type", "citations", *ENGINES.values()), 12, F.desc("citations"), F.asc("domain")),
-    "top_pages": lambda s, d: citation.page_table(cited(s, d), ENGINES).where("rank <= 8").select("url", "domain", "citations", *ENGINES.values()),
-    "top_page_by_domain": lambda s, d: facts.top_page_by_domain(citation.page_table(cited(s, d), ENGINES)),
+    "top_pages": lambda s, d: facts.top(citation.page_counts(cited(s, d), ENGINES).select("url", "domain", "citations", *ENGINES.values()), 8, F.desc("citations"), F.asc("url")),
+    "top_page_by_domain": lambda s, d: facts.top_page_by_domain(citation.page_counts(cited(s, d), ENGINES)),
     "sov_gap_top": lambda s, d: facts.sov_gap_top(page.source_sov(B.mentions(s, d), B.pages(s, d), B.page_brand_counts(s, d))),
     "dead_links_2x2": lambda s, d: facts.dead_links(B.citations(s, d), B.pages(s, d), wrapped(s, d), "F"),
     "citations_per_answer": lambda s, d: facts.citations_per_answer(B.citations(s, d)),
