@@ -1,63 +1,18 @@
-"""What the operators share: table access, the shared folder, and stored intermediate results.
-
-Intermediate results are Parquet tables in the folder that the cluster names in ``spark.checkpoint.dir``: every
-executor reads them, they cut the lineage, and they outlive the executor that wrote them.
-"""
+"""What the operators share: table access, shipping this package, and stored intermediate results."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shipping import ship
+from ..plans.storage import new_path, shared_dir, stored
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Executors import this package; where neither PYTHONPATH nor the working folder has it, Spark sends it to them."""
-    package = Path(__file__).resolve().parents[1]
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(package.parent) in map(os.path.realpath, filter(None, places)):
-        return
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver serves it from here
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
+__all__ = ["new_path", "partitions", "shared_dir", "ship", "stored", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), one of this machine is set for the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='answerscope-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back, so that they are computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
