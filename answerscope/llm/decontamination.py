@@ -150,10 +150,10 @@ def search(docs: list[list[bytes]], tests: Suffixes) -> tuple[np.ndarray, list[l
     return covered, matches
 
 
-def _pass(df: DataFrame, tests: Suffixes, last: bool) -> DataFrame:
+def _pass(df: DataFrame, tests: Suffixes, drop_text: bool) -> DataFrame:
     """One block's search. spans: the covered word intervals so far."""
     schema = "key {}, text binary, n_words long, n_hit long, spans array<struct<a:long,b:long>>, matches {}".format(df.schema["key"].dataType.simpleString(), MATCHES)
-    if last:
+    if drop_text:
         schema = schema.replace("text binary, ", "")
     sent = df.sparkSession.sparkContext.broadcast(tests)  # at most BLOCK_BYTES of text
     types = [("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])))]
@@ -185,14 +185,14 @@ def _pass(df: DataFrame, tests: Suffixes, last: bool) -> DataFrame:
                     spans.append([{"a": a, "b": z} for a, z in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True)])
                     found.append((known[at + k] or []) + matches[k])
                 cut = slice(at, at + len(shard))
-                columns = [b.column("key")[cut], *([] if last else [texts[cut]]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, types[0][1]), pa.array(found, types[1][1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", *([] if last else ["text"]), "n_words", "n_hit", "spans", "matches"])
+                columns = [b.column("key")[cut], *([] if drop_text else [texts[cut]]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, types[0][1]), pa.array(found, types[1][1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", *([] if drop_text else ["text"]), "n_words", "n_hit", "spans", "matches"])
                 at += len(shard)
 
     return df.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """key (docs' id_col), n_words, n_hit, spans (covered words) and matches (the longest for each item) of every row."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
-        df = _pass(df, Suffixes([(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in block.collect()]), k == n_blocks - 1)
+        df = _pass(df, Suffixes([(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in block.collect()]), k == n_blocks - 1 and not keep_text)
         if k < n_blocks - 1:
             df = stored(df, "benchmark_block")
     return df
@@ -212,9 +212,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark window."""
-    key = F.struct(*[F.col(c) for c in docs.columns])
-    marked = contamination(docs.select(key.alias("row"), F.col(text_col).alias("text")), benchmark, "row", "text")
-    return marked.where("n_hit = 0").select("key.*")
+    key = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    marked = contamination(docs.select(key.alias("row"), F.col(text_col).alias("text")), benchmark, "row", "text", keep_text=True)
+    return marked.where("n_hit = 0").select(*[F.col("text").cast("string").alias(c) if c == text_col else F.col("key")[c].alias(c) for c in docs.columns])
 
 
 def op9_benchmark_suffixes(spark, sf_dir: str) -> DataFrame:

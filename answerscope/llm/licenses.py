@@ -72,7 +72,8 @@ SENTENCES["gpl3.version"] = "either version 3 of the License, or (at your option
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"([.!?;:])[ \t\r\n\f]+"
-ANCHORS = r"(?i)licen[cs]e|permission|redistribut|software|warrant|version [23] of"
+#: Single words, of which every known sentence has one: white space between words may vary in a text.
+ANCHORS = r"(?i)licen[cs]e|permission|redistribut|software|warrant|released|distributed|available"
 NOTICE = "notice."
 
 

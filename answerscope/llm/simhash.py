@@ -195,18 +195,20 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(joined.join(roots, "root").select("fp", "component_id"), "linked")
     named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # stored, so that both sides of the join are plain exchanges and a fingerprint of very many documents can be split
+    return fps.join(stored(named, "component_of"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row for each component: the one with the smallest id, then the smallest text hash."""
-    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("__tag", tag)
-    fps = grouped(rows.select(F.struct(F.col(id_col).alias("id"), F.col("__tag").alias("tag")).alias("key"), F.col(text_col).alias("text")), "key", "text")
-    kept = fps.groupBy("component_id").agg(F.min("doc_id").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.tag").alias("__tag"))
-    rows = rows.withColumn("__id", F.col(id_col))
-    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__tag"] == kept["__tag"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__tag"]).drop("__id", "__tag")
+    # one key that is never null as a whole, so that removing repeated rows and the join share an exchange
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+    # fields nullable, as they are when read back: else the join would convert one side, past its partitioning
+    rows = docs.withColumn("__key", key.cast(f"struct<id:{docs.schema[id_col].dataType.simpleString()},tag:bigint>"))
+    fps = grouped(rows.select("__key", F.col(text_col).alias("text")), "__key", "text")
+    kept = fps.groupBy("component_id").agg(F.min("doc_id").alias("__key")).select("__key")
+    # repeated rows go first: they combine before the exchange
+    return rows.dropDuplicates(["__key"]).join(kept, "__key", "left_semi").drop("__key")
 
 
 def op8_simhash_bk(spark, sf_dir: str) -> DataFrame:
