@@ -36,11 +36,13 @@ BLOCKS = frozenset(
 BOILERPLATE = frozenset("aside button datalist dialog fieldset footer form head input label menu nav option select".split())
 #: Words of class, id and role that name boilerplate.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment commentlist comments complementary consent"
-    " contentinfo cookie cookies copyright dialog disqus footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice"
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment commentlist comments complementary consent"
+    " contentinfo cookie cookies dialog disqus footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice"
     " notification overlay pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup"
-    " skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
+    " skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: With these a class says that something has or lacks such a part, not that it is one.
+RELATIONS = frozenset("has no with without enabled disabled open closed".split())
 #: Boilerplate outside the article only: an article's own header has its title.
 PAGE_HEADER = frozenset(["header"])
 CLOSES = {  # a start tag ends an open element of these, not beyond the stops
@@ -56,6 +58,7 @@ WORD, TAG = 0, 1
 
 
 def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate by its name or by what its attributes say."""
     if name in BOILERPLATE or (name in PAGE_HEADER and not in_article):
         return True
     for m in ATTRIBUTE.finditer(attributes):
@@ -67,6 +70,8 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
                 return True
         elif name not in ("html", "body", "article", "main"):
             words = set(HINT_WORD.findall(value))
+            if words & RELATIONS:
+                continue
             if words & HINTS or (words & PAGE_HEADER and not in_article and name in ("div", "section", "p", "span", "ul", "table")):
                 return True
     return False
@@ -74,17 +79,16 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
 
 def tokens(page: str) -> Iterator[tuple[int, str, str]]:
     """(WORD, place, text run) and (TAG, name, "") in page order; a text run is of one element, undecoded."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []  # with the number of open boilerplate elements outside of each
     open_names: Counter[str] = Counter()
-    boiler = 0
+    boiler, had_article = 0, False
     articles = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
     at, n = 0, len(page)
 
     def pop() -> None:
         nonlocal boiler
-        name, bad = stack.pop()
+        name, boiler = stack.pop()
         open_names[name] -= 1
-        boiler -= bad
 
     while at < n:
         if page[at] != "<":
@@ -137,9 +141,12 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                 yield TAG, name, ""
                 if name not in VOID:
                     bad = _boilerplate(name, attributes, bool(open_names["article"] + open_names["main"]))
-                    stack.append((name, bad))
+                    stack.append((name, boiler))
                     open_names[name] += 1
-                    boiler += bad
+                    # the page's main part or first article is no boilerplate, whatever wraps it
+                    first = not bad and (name == "main" or name == "article" and not had_article)
+                    had_article |= name in ("main", "article")
+                    boiler = 0 if first else boiler + bad
                 continue
             if closing:
                 end = page.find(">", at)
