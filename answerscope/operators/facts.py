@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -147,3 +147,30 @@ def compare_prompt(answers: DataFrame, mentions: DataFrame, prompt_no: int) -> D
     """Brands each engine names for one prompt."""
     a = answers.where(F.col("prompt_no") == prompt_no).select("answer_id", "engine")
     return mentions.select("answer_id", "brand").join(a, "answer_id").groupBy("engine").agg(F.array_join(F.sort_array(F.collect_set("brand")), "+").alias("brands"))
+
+
+def top_brands(brand_engine: DataFrame, k: int = 10) -> DataFrame:
+    """The k brands with the highest mention rate in each engine; names settle ties."""
+    w = Window.partitionBy("engine").orderBy(F.desc_nulls_last("mention_rate"), F.asc("brand"))
+    return brand_engine.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("engine", "place", "brand", "mention_rate")
+
+
+def domain_focus(citations: DataFrame, domains: list[str], engine: str) -> DataFrame:
+    """Citations and citing answers of chosen domains in one engine, absent ones 0."""
+    order = citations.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+    own = citations.where((F.col("engine") == engine) & F.col("domain").isin(domains)).groupBy("domain").agg(F.count("*").alias("citations"), F.countDistinct("answer_id").alias("answers"))
+    return order.join(own, "domain", "left").na.fill(0)
+
+
+def share_sum(type_mix: DataFrame, types: list[str]) -> DataFrame:
+    """engine -> the share of several domain types together."""
+    return type_mix.where((F.col("pillar") == "All") & F.col("domain_type").isin(types)).groupBy("engine").agg(F.sum("share").alias("share"))
+
+
+def schema_by_type(schema: DataFrame) -> DataFrame:
+    return schema.where("domain_type <> 'All'").select("domain_type", "n", "any_jsonld")
+
+
+def written_map(m: Column) -> Column:
+    """A map as text, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat_ws("=", k, F.element_at(m, k).cast("string"))), ",")

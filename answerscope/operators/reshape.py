@@ -30,3 +30,9 @@ def newest_good(attempts: DataFrame, key: str, good: Column, at: str) -> DataFra
 def unfetched(wanted: DataFrame, cache: DataFrame, key: str, good: Column) -> DataFrame:
     """Rows whose key the cache has no good row for."""
     return wanted.join(cache.where(good).select(key), key, "left_anti")
+
+
+def in_order(df: DataFrame, key: str, values: list[str], fill: dict[str, object]) -> DataFrame:
+    """A row for each value, in a column place's order, with fills where df has none."""
+    order = df.sparkSession.createDataFrame(list(enumerate(values)), f"place int, {key} string")
+    return order.join(df, key, "left").na.fill(fill)

@@ -53,7 +53,7 @@ def _brand_rows(cut: str | None) -> str:
   round(first_mention_pos, 6) first_mention_pos, round(sentiment_mean, 6) sentiment_mean, n_pos, n_neu, n_neg, n_mixed from bt"""
 
 
-PILLARS = """, pa as (select * from answers where prompt_no not in (select prompt_no from answers where prompt_no % 7 = 0)),
+PILLARS = """, pa as (select * from answers where prompt_no not in (select prompt_no from answers where intent = 'MACHINERY')),
 pn as (select pillar, count(*) n from pa group by 1),
 pc as (select pillar, brand, n, count(distinct answer_id) named from mentions join pa using (answer_id) join pn using (pillar) group by 1, 2, 3)
 """
@@ -107,7 +107,7 @@ NB = """, nb as (select engine, i intent, count(*) n, avg(case when answer_id in
   from (select answer_id, engine, intent i from answers_all union all select answer_id, engine, 'All' from answers_all) group by all)
 """
 
-WRAPPED = ", wr as (select answer_id, url from citations where (answer_id + rank) % 4 = 0)"
+WRAPPED = ", wr as (select answer_id, url from citations where rank = 1)"
 
 SQL = {
     "brand_engine": _brand_rows(None),
@@ -161,10 +161,21 @@ select count(*) filter (w and d) wrapped_dead, count(*) filter (w) wrapped, coun
     "compare_prompt": BASE + "select engine, string_agg(distinct brand, '+' order by brand) brands from mentions join answers using (answer_id) where prompt_no = 13 group by 1",
     "expected_counts": BASE + "select (select count(*) from answers) answers, count(*) citations, count(distinct url) unique_urls, count(distinct domain) domains from citations",
     "mentions_without_answer": BASE + "select distinct answer_id from mentions where answer_id not in (select answer_id from answers where engine <> 'P')",
-    "override_by_key": BASE + "select answer_id, prompt_no, case when answer_id % 10 = 0 then 'changed' else pillar end pillar from answers",
+    "override_by_key": BASE + "select answer_id, prompt_no, case when pillar = '5-LOW' then 'changed' else pillar end pillar from answers",
     "unpivot_engines": "select c_custkey, 'F' engine, c_name as text from customer union all select c_custkey, 'O', c_mktsegment from customer",
-    "wrapped_mark": BASE + WRAPPED + "select answer_id, rank, url, (answer_id + rank) % 4 = 0 wrapped from citations",
+    "wrapped_mark": BASE + WRAPPED + "select answer_id, rank, url, rank = 1 wrapped from citations",
     "cache_merge_newest_good": "select user_id as key, event_id, event_type <> 'error' good from events qualify row_number() over (partition by user_id order by event_type <> 'error' desc, ts desc) = 1",
+    "rate_maps": BASE + _brands(None) + "select brand, string_agg(engine || '=' || n_answers_mentioning, ',' order by engine) answers from bt where n_answers_mentioning > 0 group by 1",
+    "exclusive_brands": BASE + "select brand || '/' || prompt_no brand, min(engine) engine from mentions join answers using (answer_id) group by 1 having count(distinct engine) = 1",
+    "top_brands": BASE + _brands(None) + "select engine, row_number() over (partition by engine order by mention_rate desc, brand) place, brand, round(mention_rate, 6) mention_rate from bt qualify place <= 5",
+    "domain_focus": BASE + ", f(domain) as (values ('d1.example'), ('d39.example'), ('none.example')) select f.domain, count(url) citations, count(distinct answer_id) answers from f left join citations c on f.domain = c.domain and engine = 'O' group by 1",
+    "share_sum": BASE + MIX + "select engine, round(sum(citations / n), 6) share from mx where pillar = 'All' and domain_type in ('ASIA', 'EUROPE') group by 1",
+    "schema_by_type": BASE + FACTS + "select domain_type, count(*) n, round(avg((schema_types <> '')::int), 6) any_jsonld from pd where is_readable and content_kind = 'html' and domain_type is not null group by 1",
+    "crawl_outcomes": BASE + """select case when is_readable then 'readable' when soft_404 then 'soft 404 (error page with status 200)' when fetch_error is not null then split_part(fetch_error, ':', 1) when http_status <> 200 then 'HTTP ' || http_status else 'fewer than 50 words of text' end outcome, count(*) pages from pages group by 1""",
+    "readable_shares": BASE + "select count(*) filter (is_readable) readable, count(*) pages, round(avg(is_readable::int), 6) page_share, (select round(avg(is_readable::int), 6) from citations join pages using (url)) citation_share from pages",
+    "odd_citations": BASE + "select answer_id, count(*) n from citations group by 1 having count(*) <> 4",
+    "pillars_in_order": "select p pillar, i place, (select count(*) from orders where o_orderstatus = 'F' and o_orderpriority = p) n from (values (0, '5-LOW'), (1, '1-URGENT'), (2, '9-NONE')) v(i, p)",
+    "repeated_citations": BASE + "select answer_id, domain, count(*) n from citations group by all having count(*) > 1",
     "incremental_anti": "select c_custkey as key from customer where c_custkey not in (select user_id from events where event_type <> 'error' and user_id is not null)",
 }
 
@@ -210,5 +221,9 @@ SQL |= {
   case when page_id % 3 = 1 or ends_with(lower(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1)), '.pdf') then 'pdf' when page_id % 3 = 0 then 'html' else 'other' end kind,
   len(regexp_extract_all(html, '<a ')) links from pages""",
     "half_up": "select p_partkey, format('{:,}', cast(round(cast(cast(p_retailprice as varchar) as decimal(18, 6)), 0) as bigint)) price, cast(cast(round(cast(p_size as decimal(18, 6)) / 10, 1) as decimal(18, 1)) as varchar) || '%' as share from part",
+    "citation_sections": """select doc_id answer_id, source engine, 1 as "rank", 'https://www.A.example/p' || (doc_id % 3) || '/?utm_x=1&q=2' url_raw, 'https://a.example/p' || (doc_id % 3) || '?q=2' url, 'a.example' as domain from documents
+  union all select doc_id, source, 2, 'https://a.example/p0?q=2', 'https://a.example/p0?q=2', 'a.example' from documents where doc_id % 3 <> 0""",
+    "title_contrast": """with c as (select n_nationkey, n_nationkey * 10 / 255.0 r, (250 - n_nationkey * 10) / 255.0 g from nation), l as (select n_nationkey, 0.2126 * case when r <= 0.03928 then r / 12.92 else pow((r + 0.055) / 1.055, 2.4) end + 0.7152 * case when g <= 0.03928 then g / 12.92 else pow((g + 0.055) / 1.055, 2.4) end + 0.0722 * pow((16 / 255.0 + 0.055) / 1.055, 2.4) x,
+  0.2126 * pow((11 / 255.0 + 0.055) / 1.055, 2.4) + 0.7152 * pow((12 / 255.0 + 0.055) / 1.055, 2.4) + 0.0722 * pow((14 / 255.0 + 0.055) / 1.055, 2.4) b from c) select n_nationkey, round((x + 0.05) / (b + 0.05), 6) contrast from l""",
     "turns_by_role": "select role, count(*) turns, count(distinct conv_id) conversations, cast(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) as bigint) words from conversations group by 1",
 }

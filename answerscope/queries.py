@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import brand, citation, facts, page, reshape, score
+from .operators import brand, citation, facts, page, quality, reshape, score
 from .plans import bindings as B
 from .plans import schemas
 
@@ -38,13 +38,14 @@ def vis(which: int) -> Query:
 
 
 def pillar_counts(s: SparkSession, d: str) -> DataFrame:
-    """Prompts of every seventh customer count as branded here."""
+    """Prompts of one market segment count as branded here."""
     a = B.answers(s, d)
-    return facts.pillar_counts(a, B.mentions(s, d), a.where("prompt_no % 7 = 0"))
+    return facts.pillar_counts(a, B.mentions(s, d), a.where("intent = 'MACHINERY'"))
 
 
 def wrapped(s: SparkSession, d: str) -> DataFrame:
-    return B.citations(s, d).where("(answer_id + rank) % 4 = 0")
+    """First citations count as wrapped here."""
+    return B.citations(s, d).where("rank = 1")
 
 
 def attempts(s: SparkSession, d: str) -> DataFrame:
@@ -97,10 +98,21 @@ STAR: dict[str, Query] = {
     "compare_prompt": lambda s, d: facts.compare_prompt(B.answers(s, d), B.mentions(s, d), 13),
     "expected_counts": lambda s, d: schemas.counts(B.answers(s, d), B.citations(s, d)),
     "mentions_without_answer": lambda s, d: schemas.subset(B.mentions(s, d), B.answers(s, d).where("engine <> 'P'"), ["answer_id"]),
-    "override_by_key": lambda s, d: reshape.override(B.answers(s, d).select("answer_id", "prompt_no", "pillar"), B.answers(s, d).where("answer_id % 10 = 0").select("answer_id", F.lit("changed").alias("pillar")), ["answer_id"], "pillar"),
+    "override_by_key": lambda s, d: reshape.override(B.answers(s, d).select("answer_id", "prompt_no", "pillar"), B.answers(s, d).where("pillar = '5-LOW'").select("answer_id", F.lit("changed").alias("pillar")), ["answer_id"], "pillar"),
     "unpivot_engines": lambda s, d: reshape.unpivot_engines(B.read(s, d, "customer").select("c_custkey", F.col("c_name").alias("F"), F.col("c_mktsegment").alias("O")), ["c_custkey"], ["F", "O"], "text"),
     "wrapped_mark": lambda s, d: reshape.mark(B.citations(s, d).select("answer_id", "rank", "url"), wrapped(s, d), ["answer_id", "url"], "wrapped"),
     "cache_merge_newest_good": lambda s, d: reshape.newest_good(attempts(s, d), "key", F.col("good"), "fetched_at").select("key", "event_id", "good"),
+    "rate_maps": lambda s, d: facts.rate_maps(brand_cut(None)(s, d)).select("brand", facts.written_map(F.col("n_answers_mentioning")).alias("answers")),
+    "exclusive_brands": lambda s, d: facts.exclusive_brands(B.answers(s, d), B.mentions(s, d).join(B.answers(s, d).select("answer_id", "prompt_no"), "answer_id").select("answer_id", F.concat_ws("/", "brand", "prompt_no").alias("brand"))),
+    "top_brands": lambda s, d: facts.top_brands(brand_cut(None)(s, d), 5),
+    "domain_focus": lambda s, d: facts.domain_focus(B.citations(s, d), ["d1.example", "d39.example", "none.example"], "O"),
+    "share_sum": lambda s, d: facts.share_sum(citation.mix(cited(s, d), "domain_type", by_pillar=True), ["ASIA", "EUROPE"]),
+    "schema_by_type": lambda s, d: facts.schema_by_type(page.schema_flags(page_facts(s, d))),
+    "crawl_outcomes": lambda s, d: quality.crawl_outcomes(B.pages(s, d), B.CFG.readable_min_words),
+    "readable_shares": lambda s, d: quality.readable_shares(B.pages(s, d), B.citations(s, d)),
+    "odd_citations": lambda s, d: facts.citations_per_answer(B.citations(s, d), 4),
+    "pillars_in_order": lambda s, d: reshape.in_order(B.answers(s, d).where("engine = 'F'").groupBy("pillar").agg(F.count("*").alias("n")), "pillar", ["5-LOW", "1-URGENT", "9-NONE"], {"n": 0}),
+    "repeated_citations": lambda s, d: schemas.repeated(B.citations(s, d), ["answer_id", "domain"]),
     "incremental_anti": lambda s, d: reshape.unfetched(B.read(s, d, "customer").select(F.col("c_custkey").alias("key")), attempts(s, d), "key", F.col("good")),
 }
 

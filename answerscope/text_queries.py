@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import entities, numbers, pages, sentences, urls
+from .functions import entities, numbers, pages, presentation, sentences, urls
 from .functions.entities import Brand
 from .plans.bindings import read
 
@@ -67,5 +67,11 @@ TEXT = {
     "page_kinds": page_kinds,
     "page_extract": extracted,
     "half_up": lambda s, d: read(s, d, "part").select("p_partkey", numbers.half_up(F.col("p_retailprice")).alias("price"), numbers.percent(F.col("p_size") / 1000, 1).alias("share")),
+    "markdown_sentences": lambda s, d: sentences.build_sentences(docs(s, d).withColumnRenamed("text", "answer_body"), keys=("doc_id",)),
+    "citation_sections": lambda s, d: urls.extract_citations(
+        docs(s, d).select(F.col("doc_id").alias("answer_id"), F.col("source").alias("engine"), urls.citation_section(F.concat(F.col("text"), F.lit("\n## Links cited\n1. [a](https://www.A.example/p"), F.col("doc_id") % 3, F.lit("/?utm_x=1&q=2)\nhttps://a.example/p0?q=2 http://b.example/"), F.col("doc_id") % 2)).alias("section"))
+    ),
+    "title_contrast": lambda s, d: read(s, d, "nation").select("n_nationkey", presentation.contrast(F.format_string("#%02x%02x10", F.col("n_nationkey") * 10, 250 - F.col("n_nationkey") * 10), F.lit("#0B0C0E")).alias("contrast")),
+    "line_counts": lambda s, d: docs(s, d).select("doc_id", presentation.line_count(F.col("text"), 40).alias("lines")),
     "turns_by_role": lambda s, d: read(s, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(sentences.word_count(F.col("text"))).alias("words")),
 }

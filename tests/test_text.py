@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from answerscope.functions import entities, numbers, sentences, urls
+from answerscope.functions import entities, numbers, presentation, sentences, urls
 from answerscope.functions.entities import Brand
 
 
@@ -180,3 +180,9 @@ def test_every_number_shown_has_a_fact(spark):
     texts = spark.createDataFrame([("BCA leads with 55% of 40 answers.",)], "text string")
     facts = spark.createDataFrame([("55",)], "number string")
     assert [r.number for r in numbers.unknown_numbers(texts, facts).collect()] == ["40"]
+
+
+def test_presentation(spark):
+    r = spark.range(1).select(presentation.contrast(F.lit("#000000"), F.lit("#FFFFFF")), presentation.contrast(F.lit("#777777"), F.lit("#ffffff"))).first()
+    assert list(r) == [pytest.approx(21), pytest.approx(4.478, abs=1e-3)]
+    assert apply(spark, "aaa bbb ccc\n\nabcdefghij k", lambda c: presentation.line_count(c, 7)) == [5]
