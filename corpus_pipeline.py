@@ -1,6 +1,9 @@
 """A corpus from documents: language, near-duplicates, benchmark passages, secrets, and packing into windows.
 
-Each stage works on all that the one before kept, and its result is written as Parquet and read again.
+Each stage works on all that the one before kept, and its result is written as Parquet and read again. All stages but
+the last return the columns of documents; other columns, whatever their names, are left out. Empty tables pass through
+as empty ones. Repeated rows are near-duplicates of each other, so one of them stays. A null doc_id is a document like
+any other, and is the one that stays only where its group has no id.
 """
 
 from __future__ import annotations
@@ -19,31 +22,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts without any language: null ones and those without a letter."""
+    """Leaves out texts without any language: null ones and those without a letter. Labels are learned from, not kept to."""
     ship(spark)
     found = predicted(docs.select(*COLUMNS), train(docs))
     return found.where(F.col("lang_pred") != UND).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of linked fingerprints."""
+    """Keeps one document of each component of linked fingerprints: that with the smallest doc_id."""
     ship(spark)
     return one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that hold a benchmark window."""
+    """Leaves out documents that hold a benchmark window; texts without words hold none."""
     return clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every span found, and counts the text's characters again."""
+    """Masks every span found, and counts the text's characters again; null texts stay as they are."""
     found = with_spans(docs.select(*COLUMNS), out="found")
     masked = found.withColumn("text", redacted(F.col("text"), F.col("found")))
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens; a null text is its end id alone."""
     ship(spark)
     return pack(docs)
 
