@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The headings that open an answer's list of sources, and what a URL looks like in text.
@@ -98,14 +98,15 @@ def normalize_url(url: Column) -> Column:
 
 
 def extract_citations(answers: DataFrame, section_col: str = "section") -> DataFrame:
-    """answer_id, engine, rank, url_raw, url, domain: the first URL of each line, each page once, in order."""
-    lines = answers.select("answer_id", "engine", F.posexplode(F.split(section_col, "\n")).alias("line", "text"))
-    found = lines.withColumn("url_raw", F.regexp_extract("text", f"({URL})", 1)).where("url_raw <> ''")
-    found = found.select("answer_id", "engine", "line", "url_raw", normalize_url(F.col("url_raw")).alias("url"))
-    # an answer's lines stay together for both windows
-    first = F.row_number().over(Window.partitionBy("answer_id", "url").orderBy("line"))
-    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy("line"))
-    return found.withColumn("nth", first).where("nth = 1").withColumn("rank", rank).select("answer_id", "engine", "rank", "url_raw", "url", domain_of(F.col("url")).alias("domain"))
+    """answer_id, engine, rank, url_raw, url, domain: the first URL of each line, each page once, in order.
+
+    An answer's list is settled inside its row, so nothing is shuffled.
+    """
+    first = F.filter(F.transform(F.split(section_col, "\n"), lambda x: F.regexp_extract(x, f"({URL})", 1)), lambda u: u != "")
+    lists = answers.select("answer_id", "engine", first.alias("raws")).withColumn("urls", F.transform("raws", normalize_url))
+    found = lists.select("answer_id", "engine", "raws", "urls", F.posexplode(F.array_distinct("urls")).alias("place", "url"))
+    raw = F.get("raws", (F.array_position("urls", F.col("url")) - 1).cast("int"))
+    return found.select("answer_id", "engine", (F.col("place") + 1).alias("rank"), raw.alias("url_raw"), "url", domain_of(F.col("url")).alias("domain"))
 
 
 def wrapped_links(answers: DataFrame, section_col: str = "section") -> DataFrame:
