@@ -80,7 +80,7 @@ def test_op2(results):
 
 def test_op3(results):
     got = results(3)
-    order = sorted(((-1 if i is None else i, len(t.encode()) + (0 if t is None else 0) + 1, zlib.crc32(t.encode()), i) for i, t in DOCS))
+    order = sorted(((-1 if i is None else i, len(t.encode()) + 1, zlib.crc32(t.encode()), i) for i, t in DOCS))
     total, at, slots, expected = sum(o[1] for o in order), 0, Counter(), []
     for _, size, crc, i in order:
         shard = min(7, at * 8 // total)
