@@ -5,6 +5,8 @@ They are Parquet tables: every executor reads them, they cut the lineage, and th
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named (tests), one of this machine is set for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='answerscope-shared-')}"
+        folder = tempfile.mkdtemp(prefix="answerscope-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
