@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .brand import ai_sov_weighted
 
+# Schema types as substrings, and the date sources that count as structured.
 ARTICLE, FAQ, ORG = "Article|BlogPosting|Report", "FAQPage", "Organization|BankOrCreditUnion|FinancialService|Corporation"
 STRUCTURED = ("jsonld", "meta")
 
