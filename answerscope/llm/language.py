@@ -6,8 +6,10 @@ on the language's own training texts and takes the codeword of least weighted lo
 text whose two best codewords are close is flagged as ambiguous.
 
 Training reads only text and lang, of rows that are labelled and not held out (crc32 of doc_id as text, mod 4, is not 2;
-a null doc_id is left out too). At most PER_LANGUAGE texts of a language, and TOTAL in all, are expected in the sample:
-distinct whole texts chosen by a hash, wherever they stand. Every row is predicted, from its whole text alone.
+a null doc_id is left out too). The sample has the PER_LANGUAGE distinct whole texts of a language with the smallest
+hashes, fewer if that would be more than TOTAL in all (but two of each language), and all texts of a language that has
+no more. Copies, null texts and texts without letters take no place, so no language with a usable text is left out.
+Every row is predicted, from its whole text alone.
 
 Nulls: `und` with score 0 for a null text or one without any letter, and for every text if nothing is labelled. Repeated
 rows get equal results; an empty table gives no rows; other columns are not read. Long texts are counted in blocks.
@@ -15,13 +17,14 @@ rows get equal results; an empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -36,7 +39,8 @@ STEPS, RATE, DECAY = 150, 8.0, 1e-5
 #: Two codewords are close if the better one's share is not this much larger.
 MARGIN = 0.1
 BLOCK = 1 << 20
-HASH_BITS = 1 << 30
+#: Letters, and what may be one by another version of Unicode; has_letter() decides.
+MAYBE_LETTER = r"[\p{L}\p{Cn}]"
 #: ASCII other than letters becomes a space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FACTORS = (2654435761, 2246822519, 3266489917, 668265263)
@@ -107,19 +111,36 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
+    hashed = labelled.where(F.col("text").rlike(MAYBE_LETTER)).withColumn("h", F.xxhash64("text", "lang"))
+    counted = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in counted.collect()}  # one row for each language
     if not sizes:
         return None
     each = max(2, min(PER_LANGUAGE, TOTAL // len(sizes)))
-    chance = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(HASH_BITS, HASH_BITS * each // n))])
-    sampled = labelled.withColumn("h", F.xxhash64("text", "lang")).where((F.pmod(F.col("h"), F.lit(HASH_BITS)) < chance[F.col("lang")]) & F.col("text").isNotNull())
+    wide = each + 8 * math.isqrt(each) + 30  # so many hashes are expected below the limit that `each` are there
+    limits = {k: max(least, min((1 << 63) - 1, (wide << 64) // n - (1 << 63))) for k, (n, least) in sizes.items()}
+    limit = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])
+    near = hashed.where(F.col("h") <= limit[F.col("lang")]).select("lang", "h", "text")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of hashes below the limits
+        for b in batches:
+            of = []
+            for k, (lang, h) in enumerate(zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), strict=True)):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    if has_letter(b.column("text")[k].as_py()):
+                        of.append(k)
+            yield b.take(pa.array(of, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(l, features(t).tobytes()) for l, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
+            x = [features(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(x, pa.binary())], names=["lang", "h", "x"])
 
-    found = sampled.groupBy("h").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).select("lang", "text").mapInArrow(run, "lang string, x binary").toPandas()
+    distinct = near.mapInArrow(once, "lang string, h long, text string").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    ranked = distinct.mapInArrow(run, "lang string, h long, x binary").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    found = ranked.where(F.col("rank") <= each).select("lang", "x").toPandas()
     if found.empty:
         return None
     found = found.sort_values(["lang", "x"], kind="stable")

@@ -108,6 +108,23 @@ def test_op5(results):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held) > 5
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    """Copies, null texts and texts without letters take no places of the sample."""
+    from answerscope.llm import language
+
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), f"only {chr(97 + k) * 9} text", f"l{k:02}") for k in range(20) for _ in range(300)]
+    rows += [(next(ids), t, "l20") for t in (None, "123", *[f"{chr(97 + k)} word" for k in range(5)]) for _ in range(200)]
+    rows += [(next(ids), None, "l21"), (next(ids), "456", "l22")]
+    counts = []
+    monkeypatch.setattr(language.np, "bincount", lambda y, real=np.bincount, **kw: (counts.append(r := real(y, **kw)), r)[1])
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model is not None and model.languages == [f"l{k:02}" for k in range(21)] and counts[0].tolist() == [1] * 20 + [5]
+    monkeypatch.setattr(language, "TOTAL", 0)
+    counts.clear()
+    assert language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == model.languages and counts[0].tolist() == [1] * 20 + [2]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
