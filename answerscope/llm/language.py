@@ -187,6 +187,16 @@ def predicted(docs: DataFrame, fitted: Model | None, text_col: str = "text") ->
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose texts have a letter, which are those of a score above 0 wherever there is a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([has_letter(t.as_py()) for t in b.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language_ecoc(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

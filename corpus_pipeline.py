@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from answerscope.llm.common import ship, stored, table
 from answerscope.llm.credentials import redacted, with_spans
 from answerscope.llm.decontamination import clean
-from answerscope.llm.language import UND, predicted, train
+from answerscope.llm.language import lettered, predicted, train
 from answerscope.llm.packing import pack
 from answerscope.llm.simhash import one_of_each
 
@@ -22,10 +22,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts without any language: null ones and those without a letter. Labels are learned from, not kept to."""
+    """Leaves out texts without any language: null ones and those without a letter. Labels are learned from, not kept to; without any, all else stays."""
     ship(spark)
-    found = predicted(docs.select(*COLUMNS), train(docs))
-    return found.where(F.col("lang_pred") != UND).select(*COLUMNS)
+    fitted = train(docs)
+    if fitted is None:
+        return lettered(docs.select(*COLUMNS))
+    found = predicted(docs.select(*COLUMNS), fitted)
+    return found.where(F.col("score") > 0).select(*COLUMNS)  # a label may be "und"
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

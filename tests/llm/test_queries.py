@@ -290,6 +290,16 @@ def test_pipeline(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_pipeline_keeps_clean_texts_without_labels(spark, folder):
+    """No label at all, labels of held-out rows only, and a label that reads like the mark of texts without a language."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = Counter((i, t) for i, t in DOCS if any(c.isalpha() for c in t))
+    held = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
+    for lang in ("cast(null as string)", f"if({held}, lang, null)", "'und'"):
+        out = dict(corpus_pipeline.STAGES)["language"](spark, docs.selectExpr("doc_id", "text", f"{lang} as lang", "source", "n_chars"), folder)
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == clean, lang
+
+
 def test_fast_ids_equal_the_library():
     e = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(3)
