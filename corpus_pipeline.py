@@ -22,13 +22,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts without any language: null ones and those without a letter. Labels are learned from, not kept to; without any, all else stays."""
+    """Leaves out texts without any language: null ones and those without a letter. Labels are learned from, not kept to; without any, all else stays.
+
+    A document without a label gets the language that the codes decide on: not where two are close, or none but one is known.
+    """
     ship(spark)
     fitted = train(docs)
     if fitted is None:
         return lettered(docs.select(*COLUMNS))
     found = predicted(docs.select(*COLUMNS), fitted)
-    return found.where(F.col("score") > 0).select(*COLUMNS)  # a label may be "und"
+    found = found.where(F.col("score") > 0)  # a label may be "und"
+    if len(fitted.languages) > 1:
+        found = found.withColumn("lang", F.coalesce(F.col("lang"), F.when(~F.col("ambiguous"), F.col("lang_pred"))))
+    return found.select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from io import BytesIO
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from answerscope.llm import catalog, media, packing, simhash, tokens
@@ -300,6 +301,19 @@ def test_pipeline_keeps_clean_texts_without_labels(spark, folder):
         assert Counter((r.doc_id, r.text) for r in out.collect()) == clean, lang
 
 
+def test_pipeline_labels_what_the_codes_decide(spark, folder):
+    from answerscope.llm import language
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bare = docs.withColumn("lang", F.when(F.col("doc_id").between(100, 159) & (F.col("doc_id") % 4 > 1), F.lit(None)).otherwise(F.col("lang")))
+    found = {r.doc_id: r for r in language.predicted(bare, language.train(bare)).where("lang is null and score > 0").collect()}
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, bare, folder)
+    got = {r.doc_id: r.lang for r in kept.collect()}
+    assert len(found) > 20 and all(got[i] == (None if r.ambiguous else r.lang_pred) for i, r in found.items())
+    truth = {i: lang for i, _, lang, *_ in edge.documents()}
+    assert sum(got[i] == truth[i] for i in found) > 20 and all(got[i] == truth[i] for i in got if i not in found and i is not None)
+
+
 def test_fast_ids_equal_the_library():
     e = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(3)
