@@ -47,9 +47,11 @@ SENTENCES = {
     "bsd.as_is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "apache.under": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache.comply": "you may not use this file except in compliance with the License.",
-    "gpl.redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2.redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl.redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "gpl2.version": "either version 2 of the License, or (at your option) any later version.",
+    "gpl3.version": "either version 3 of the License, or (at your option) any later version.",
+    # the usual notice has a comma before its version, so that both are one sentence
+    "gpl3.redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl.warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "mpl.subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "unlicense.domain": "This is free and unencumbered software released into the public domain.",
@@ -62,13 +64,11 @@ RULES = {
     "BSD-2-Clause": [("bsd.permit", "bsd.source", "bsd.binary", "bsd.as_is")],
     "BSD-3-Clause": [("bsd.permit", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.as_is")],
     "Apache-2.0": [("apache.under", "apache.comply")],
-    "GPL-2.0-or-later": [("gpl2.redistribute", "gpl2.version", "gpl.warranty")],
-    "GPL-3.0-or-later": [("gpl.redistribute", "gpl.warranty"), ("gpl3.redistribute", "gpl3.version", "gpl.warranty")],
+    "GPL-2.0-or-later": [("gpl.redistribute", "gpl2.version", "gpl.warranty")],
+    "GPL-3.0-or-later": [("gpl3.redistribute", "gpl.warranty"), ("gpl.redistribute", "gpl3.version", "gpl.warranty")],
     "MPL-2.0": [("mpl.subject",)],
     "Unlicense": [("unlicense.domain",)],
 }
-SENTENCES["gpl3.redistribute"] = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
-SENTENCES["gpl3.version"] = "either version 3 of the License, or (at your option) any later version."
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"([.!?;:])[ \t\r\n\f]+"

@@ -422,6 +422,41 @@ def test_licence_texts(spark):
     assert all(re.search(licenses.ANCHORS, k) for k in licenses.dictionary()), "a sentence that the first search would miss"
 
 
+GPL = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_every_licence_rule_finds_its_notice(spark):
+    from answerscope.llm import licenses
+
+    s = licenses.SENTENCES
+    assert len(licenses.dictionary()) == len(s) + 2 * len(licenses.OPENINGS) * len(licenses.NAMES), "two sentences of one normal form"
+    assert {i for options in licenses.RULES.values() for rule in options for i in rule} == set(s)
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\n{bsd.permit}\n\n1. {bsd.source}\n2. {bsd.binary}\n%s\n{bsd.as_is} IN NO EVENT SHALL X BE LIABLE."
+    notices = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 X\n\n{mit.grant}\n\n{mit.notice}\n\n{mit.as_is} {mit.liability}", "ISC": "Copyright X\n\n{isc.grant}\n\n{isc.as_is} IN NO EVENT",
+        "BSD-2-Clause": bsd % "", "BSD-3-Clause": bsd % "3. {bsd.endorse}\n", "Apache-2.0": "   {apache.under}\n   {apache.comply}\n   You may obtain a copy of the License at\n",
+        "MPL-2.0": "{mpl.subject} 2.0. If a copy of the MPL was not distributed with this file,", "Unlicense": "{unlicense.domain}\n\nAnyone is free to copy",
+    }
+    texts = []
+    for name, t in notices.items():
+        for k, v in s.items():
+            t = t.replace("{" + k + "}", v.replace(", ", ",\n"))
+        texts.append((name, t))
+    texts += [("GPL-2.0-or-later", GPL.format(";", ";", 2)), ("GPL-3.0-or-later", GPL.format(":", ",", 3)), ("GPL-3.0-or-later", GPL.format(";", ";", 3))]
+    assert {name for name, _ in texts} == set(licenses.RULES)
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    assert [(r.doc_id, r.licences) for r in licenses.detected(df).collect()] == [(name, [name]) for name, _ in texts]
+
+
 def test_spans_of_many_matches(spark):
     from answerscope.llm import credentials
 
