@@ -1,6 +1,7 @@
 """Operator 7: the main text of a page, as its best-scoring stretch of words and tags.
 
-A page is a row of tokens. Words score by where they stand (in the article, in a link, in boilerplate, elsewhere), tags
+A page is a row of tokens. Words score by where they stand (in the article, its links included, or, on a page without
+one, in a link or elsewhere; in boilerplate; outside of the article), tags
 score negative by name; the weights are log-odds of lying in the content, learned from the labelled pages below. One
 linear scan finds the contiguous stretch of largest score. Inside it, what is boilerplate by its element (menus, forms,
 adverts, notices, comments, scripts, ...) is left out, references are decoded, white space inside a block becomes one
@@ -154,7 +155,7 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                 continue
             end = page.find("<", at + 1)
             end = n if end < 0 else end
-        place = "boilerplate" if boiler else "outside" if articles and not open_names["article"] + open_names["main"] else "link" if open_names["a"] > 0 else "article" if articles else "plain"
+        place = "boilerplate" if boiler else ("article" if open_names["article"] + open_names["main"] else "outside") if articles else "link" if open_names["a"] > 0 else "plain"
         yield WORD, place, page[at:end]
         at = end
 

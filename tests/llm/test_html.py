@@ -19,6 +19,14 @@ PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body>Body <script>var a = '<p>no</p>'</script>text", "Body text"),
 ]
 
+# links at the edges of the article, and an article of links
+PAGES += [
+    ("<nav><a href=/>Home</a></nav><article><h1><a href=x>The linked headline</a></h1><p>Body of the story.</p></article>", "The linked headline\nBody of the story."),
+    ("<article><h1>T</h1><p>Body of the story.</p><p><a href=x>A closing link of some words</a></p></article><footer>f</footer>", "T\nBody of the story.\nA closing link of some words"),
+    ("<main><p>See also these.</p><ul><li><a href=a>One page</a></li><li><a href=b>Another page</a></li></ul></main>", "See also these.\nOne page\nAnother page"),
+    ("<article><ul><li><a href=a>One page</a></li><li><a href=b>Another page</a></li></ul></article>", "One page\nAnother page"),
+]
+
 
 @pytest.mark.parametrize("page, text", PAGES)
 def test_pages(page, text):
