@@ -78,12 +78,32 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[int, str, str]]:
-    """(WORD, place, text run) and (TAG, name, "") in page order; a text run is of one element, undecoded."""
+def tokens(page: str) -> list[tuple[int, str, str]]:
+    """(WORD, place, text run) and (TAG, name, "") in page order; a text run is of one element, undecoded.
+
+    Words outside of article and main are 'outside' if the largest of these elements has at least as many words. With
+    less, they are teasers, comments or the like, and the page is read as one without an article.
+    """
+    row = list(_placed(page, True))
+    sizes: Counter[int] = Counter()
+    plain = 0
+    for kind, place, run, part in row:
+        if kind == WORD and part and place != "boilerplate":
+            sizes[part] += count_words(run)
+        elif kind == WORD and place == "plain":
+            plain += count_words(run)
+    largest = max(sizes.values(), default=0)
+    articles = largest > 0 and largest >= plain
+    if plain and not articles and any(part for *_, part in row):
+        row = list(_placed(page, False))
+    return [(kind, "outside" if articles and kind == WORD and not part and place != "boilerplate" else place, run) for kind, place, run, part in row]
+
+
+def _placed(page: str, articles: bool) -> Iterator[tuple[int, str, str, int]]:
+    """Tokens with the number of the outermost article or main around a word (0: none; all are if not articles)."""
     stack: list[tuple[str, int]] = []  # with the number of open boilerplate elements outside of each
     open_names: Counter[str] = Counter()
-    boiler, had_article = 0, False
-    articles = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+    boiler, had_article, part = 0, False, 0
     at, n = 0, len(page)
 
     def pop() -> None:
@@ -113,7 +133,7 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                 attributes = page[m.end() : end]
                 at = end
                 if closing:
-                    yield TAG, name, ""
+                    yield TAG, name, "", 0
                     if open_names[name] > 0:
                         while stack[-1][0] != name:
                             pop()
@@ -123,7 +143,7 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                     close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                     after = page.find(">", close.start()) if close else -1
                     at = after + 1 if after >= 0 else n
-                    yield TAG, name, ""
+                    yield TAG, name, "", 0
                     continue
                 if name in BLOCKS and name not in ("html", "body") and open_names["p"] and any(x[0] == "p" for x in stack[-8:]):
                     while stack and open_names["p"] and stack[-1][0] not in BLOCKS - {"p"}:
@@ -139,14 +159,15 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                             while len(stack) > k:
                                 pop()
                         k -= 1
-                yield TAG, name, ""
+                yield TAG, name, "", 0
                 if name not in VOID:
                     bad = _boilerplate(name, attributes, bool(open_names["article"] + open_names["main"]))
                     stack.append((name, boiler))
                     open_names[name] += 1
                     # the page's main part or first article is no boilerplate, whatever wraps it
-                    first = not bad and (name == "main" or name == "article" and not had_article)
+                    first = not bad and (name == "main" or name == "article" and articles and not had_article)
                     had_article |= name in ("main", "article")
+                    part += name in ("main", "article") and open_names["article"] + open_names["main"] == 1
                     boiler = 0 if first else boiler + bad
                 continue
             if closing:
@@ -155,8 +176,8 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
                 continue
             end = page.find("<", at + 1)
             end = n if end < 0 else end
-        place = "boilerplate" if boiler else ("article" if open_names["article"] + open_names["main"] else "outside") if articles else "link" if open_names["a"] > 0 else "plain"
-        yield WORD, place, page[at:end]
+        inside = part if articles and open_names["article"] + open_names["main"] else 0
+        yield WORD, "boilerplate" if boiler else "article" if inside else "link" if open_names["a"] > 0 else "plain", page[at:end], inside
         at = end
 
 
@@ -190,7 +211,7 @@ def weights() -> dict[tuple[int, str], float]:
         edges, before = [], 0
         for inside, piece in segments:
             edges.append((before, inside))
-            before += len(list(tokens(piece)))
+            before += len(tokens(piece))
         for k, (kind, name, run) in enumerate(tokens(page)):
             inside = [x for at, x in edges if at <= k][-1]
             pair = seen.setdefault((kind, name), [0.5, 0.5])
@@ -207,7 +228,7 @@ def extract(page: str | None) -> str:
         return ""
     w = weights()
     unseen = {WORD: 0.0, TAG: -0.05}
-    row = list(tokens(page))
+    row = tokens(page)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for k, (kind, name, run) in enumerate(row):
         score = w.get((kind, name), unseen[kind]) * (count_words(run) if kind == WORD else 1)

@@ -27,6 +27,16 @@ PAGES += [
     ("<article><ul><li><a href=a>One page</a></li><li><a href=b>Another page</a></li></ul></article>", "One page\nAnother page"),
 ]
 
+# names of elements that never open, and articles beside the main text
+MAIN = "<div><h1>Title</h1><p>The main text stands here in a plain element, and it has some words more than the rest.</p></div>"
+MAIN_TEXT = "Title\nThe main text stands here in a plain element, and it has some words more than the rest."
+PAGES += [(f"<body>{x}{MAIN}</body>", MAIN_TEXT) for x in ("<!-- <article> -->", "<script>var a = '<main>'</script>", "<style>/* <article> */</style>", "<template><main>x</main></template>", "<form><textarea><article></textarea></form>")]
+PAGES += [
+    (f"{MAIN}<div class='comments'><article><p>I doubt it.</p></article><article><p>Me too.</p></article></div>", MAIN_TEXT),
+    (f"{MAIN}<article><p>A teaser of a story.</p></article><article><p>One more of them.</p></article>", MAIN_TEXT + "\nA teaser of a story.\nOne more of them."),
+    (f"<article>{MAIN}</article><div>Contact the office.</div>", MAIN_TEXT),
+]
+
 
 @pytest.mark.parametrize("page, text", PAGES)
 def test_pages(page, text):
