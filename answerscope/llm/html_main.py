@@ -5,7 +5,8 @@ one, in a link or elsewhere; in boilerplate; outside of the article), tags
 score negative by name; the weights are log-odds of lying in the content, learned from the labelled pages below. One
 linear scan finds the contiguous stretch of largest score. Inside it, what is boilerplate by its element (menus, forms,
 adverts, notices, comments, scripts, ...) is left out, references are decoded, white space inside a block becomes one
-space, and blocks are joined by line feeds in page order. Nothing else is dropped or cut.
+space, and blocks are joined by line feeds in page order. Formulas, drawings' labels and fallback text stay; titles of
+pages and drawings, and the text of iframe, noscript, template and textarea don't. Nothing else is dropped or cut.
 
 Nulls: null and empty html give "" (n_chars 0), as do pages without content words. Repeated rows get equal results; an
 empty table gives no rows; other columns are not read. Broken markup (unclosed elements, comments, scripts, references)
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,10 +30,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg canvas object title xmp math".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
+#: Text to its end tag, without tags or references, that is shown as it stands.
+LITERAL = "xmp"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    " head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 BOILERPLATE = frozenset("aside button datalist dialog fieldset footer form head input label menu nav option select".split())
 #: Words of class, id and role that name boilerplate.
@@ -50,6 +53,8 @@ CLOSES = {  # a start tag ends an open element of these, not beyond the stops
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "body": (("head",), ("html",)),
 }
+#: An open p outside of these isn't ended by a block in them.
+KEEPS_P = BLOCKS - {"p"} | {"object", "button", "svg", "math"}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TAG_END = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
@@ -102,14 +107,25 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
 def _placed(page: str, articles: bool) -> Iterator[tuple[int, str, str, int]]:
     """Tokens with the number of the outermost article or main around a word (0: none; all are if not articles)."""
     stack: list[tuple[str, int]] = []  # with the number of open boilerplate elements outside of each
-    open_names: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    keeps_p: list[int] = []  # and of KEEPS_P
     boiler, had_article, part = 0, False, 0
     at, n = 0, len(page)
 
-    def pop() -> None:
+    def pop_to(k: int) -> None:
         nonlocal boiler
-        name, boiler = stack.pop()
-        open_names[name] -= 1
+        while len(stack) > k:
+            name, boiler = stack.pop()
+            opened[name].pop()
+            if name in KEEPS_P:
+                keeps_p.pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((opened[x][-1] for x in names if opened[x]), default=-1)
+
+    def placed(bad: bool, run: str) -> tuple[str, str, int]:
+        inside = part if articles and (opened["article"] or opened["main"]) else 0
+        return "boilerplate" if boiler or bad else "article" if inside else "link" if opened["a"] else "plain", run, inside
 
     while at < n:
         if page[at] != "<":
@@ -134,40 +150,37 @@ def _placed(page: str, articles: bool) -> Iterator[tuple[int, str, str, int]]:
                 at = end
                 if closing:
                     yield TAG, name, "", 0
-                    if open_names[name] > 0:
-                        while stack[-1][0] != name:
-                            pop()
-                        pop()
+                    if opened[name]:
+                        pop_to(opened[name][-1])
                     continue
-                if name in RAW and not attributes.endswith("/>"):
+                if name == LITERAL or name in RAW and not attributes.endswith("/>"):
                     close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                     after = page.find(">", close.start()) if close else -1
-                    at = after + 1 if after >= 0 else n
+                    start, at = at, after + 1 if after >= 0 else n
                     yield TAG, name, "", 0
+                    if name == LITERAL:
+                        shown = page[start : close.start() if close else n]
+                        yield WORD, *placed(_boilerplate(name, attributes, True), entities.escape(shown, quote=False))
+                        yield TAG, name, "", 0
                     continue
-                if name in BLOCKS and name not in ("html", "body") and open_names["p"] and any(x[0] == "p" for x in stack[-8:]):
-                    while stack and open_names["p"] and stack[-1][0] not in BLOCKS - {"p"}:
-                        last = stack[-1][0]
-                        pop()
-                        if last == "p":
-                            break
-                if name in CLOSES and any(open_names[x] for x in CLOSES[name][0]):
+                if name in BLOCKS and name not in ("html", "body") and opened["p"] and opened["p"][-1] > (keeps_p[-1] if keeps_p else -1):
+                    pop_to(opened["p"][-1])
+                if name in CLOSES:
                     ends, stops = CLOSES[name]
-                    k = len(stack) - 1
-                    while k >= 0 and len(stack) - k < 64 and stack[k][0] not in stops:
-                        if stack[k][0] in ends:
-                            while len(stack) > k:
-                                pop()
-                        k -= 1
+                    stop = last(stops)
+                    while (k := last(ends)) > stop:
+                        pop_to(k)
                 yield TAG, name, "", 0
                 if name not in VOID:
-                    bad = _boilerplate(name, attributes, bool(open_names["article"] + open_names["main"]))
+                    bad = _boilerplate(name, attributes, bool(opened["article"] or opened["main"]))
+                    opened[name].append(len(stack))
+                    if name in KEEPS_P:
+                        keeps_p.append(len(stack))
                     stack.append((name, boiler))
-                    open_names[name] += 1
                     # the page's main part or first article is no boilerplate, whatever wraps it
                     first = not bad and (name == "main" or name == "article" and articles and not had_article)
                     had_article |= name in ("main", "article")
-                    part += name in ("main", "article") and open_names["article"] + open_names["main"] == 1
+                    part += name in ("main", "article") and len(opened["article"]) + len(opened["main"]) == 1
                     boiler = 0 if first else boiler + bad
                 continue
             if closing:
@@ -176,8 +189,7 @@ def _placed(page: str, articles: bool) -> Iterator[tuple[int, str, str, int]]:
                 continue
             end = page.find("<", at + 1)
             end = n if end < 0 else end
-        inside = part if articles and open_names["article"] + open_names["main"] else 0
-        yield WORD, "boilerplate" if boiler else "article" if inside else "link" if open_names["a"] > 0 else "plain", page[at:end], inside
+        yield WORD, *placed(False, page[at:end])
         at = end
 
 

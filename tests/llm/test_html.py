@@ -37,6 +37,15 @@ PAGES += [
     (f"<article>{MAIN}</article><div>Contact the office.</div>", MAIN_TEXT),
 ]
 
+# formulas, preformatted and fallback text, and boilerplate that ends without an end tag
+PAGES += [
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><svg><title>t</title><text>Drawn label</text><path d='M0'/></svg><canvas>Chart of rain</canvas><object>Shown instead</object></article>", "Let x=1 hold.\nDrawn labelChart of rainShown instead"),
+    ("<article><p>Code:</p><xmp>if a <b> c &amp; d</xmp><p>End.</p></article>", "Code:\nif a <b> c &amp; d\nEnd."),
+    ("<article><p>Code:</p><xmp class=ad>buy</xmp><p>End.</p></article>", "Code:\nEnd."),
+    ("<article><p>One two.</p><p class=ad>buy" + "<b>" * 12 + "now<p>Three four.</p></article>", "One two.\nThree four."),
+    ("<article><ul><li>One" + " two" * 40 + "<li class=ad>buy" + "<b>" * 80 + "now<li>Three" + " four" * 40 + "</ul></article>", "One" + " two" * 40 + "\nThree" + " four" * 40),
+]
+
 
 @pytest.mark.parametrize("page, text", PAGES)
 def test_pages(page, text):
