@@ -1,9 +1,11 @@
 """Operator 2: token counts by way of a cache of digests.
 
-The cache is a Parquet table of (content digest, tokenizer digest, n_tokens). A call digests the normalised texts,
-keeps one row of each content, drops those that the cache already has under this tokenizer's digest, encodes the rest,
-appends their counts to the cache, and joins every document's digest to the stored counts. A content that many
-documents share is encoded once; copies within a task never leave it.
+The cache is a Parquet table of (content digest, tokenizer digest, n_tokens). A call digests the normalised texts into
+a narrow table, finds the digests that stand in several rows or that the cache already has under this tokenizer's
+digest, and encodes each miss once: a text whose digest is surely alone where it stands, the others after one row of
+each content was kept and those in the cache were dropped. Their counts are appended to the cache, and every document's
+digest joins the stored counts. So only texts with copies (and a few that a bitmap takes for such) are shuffled, and a
+content that many documents share is encoded once.
 
 Normalised content: the UTF-8 text, null as the empty one, with U+2581 written as a space. The tokenizer itself writes
 spaces as U+2581 before it looks at anything else, so both spellings give the same pieces; nothing else is folded,
@@ -14,35 +16,77 @@ never meets old counts. Appending is one Parquet write: a failed job leaves noth
 digest store the same count, which reading collapses.
 
 Empty tables give no rows; repeated rows each give their row; null and empty texts have 0 tokens; other columns are
-not read, whatever their names. Whole texts are encoded, however long.
+not read, whatever their names. Whole texts are encoded, however long: a long one in slices, cut before a word that
+follows a single space. No piece of the vocabulary holds a space after another character, so none spans such a cut,
+and the mark that the tokenizer puts before a slice stands for the space that was cut. Where a vocabulary has such
+pieces, texts are not sliced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import arrow, marked, new_path, stored, table
 
 SCHEMA = "digest binary, version string, n_tokens long"
 LIMIT = 4096
-#: Texts, and bytes of text, that go to the library at once.
-TEXTS, BYTES = 512, 4 << 20
+#: Characters that go to the library at once, as one slice of a text or as several texts.
+SLICE = 1 << 16
+#: A space alone between two characters that are neither spaces nor what the tokenizer makes of them.
+CUT = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 
-_models: dict[str, object] = {}
+_models: dict[str, Counter] = {}
 
 
-def model(path: str):
-    """One for each Python worker."""
-    if path not in _models:
+class Counter:
+    def __init__(self, path: str):
         import sentencepiece
 
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.sliceable = not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def slices(self, text: str) -> list[str]:
+        if not self.sliceable or len(text) <= SLICE:
+            return [text]
+        out, start = [], 0
+        while len(text) - start > SLICE and (m := CUT.search(text, start + SLICE - 1)):
+            out.append(text[start : m.start()])
+            start = m.end()
+        return [*out, text[start:]]
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        out, held, of, size = [], [], [], 0
+
+        def send() -> None:
+            for k, ids in zip(of, self.model.encode(held, num_threads=1), strict=True):
+                out[k] += len(ids)
+
+        for k, text in enumerate(texts):
+            out.append(0)
+            for part in self.slices(text):
+                held.append(part)
+                of.append(k)
+                size += len(part)
+                if size >= SLICE:
+                    send()
+                    held, of, size = [], [], 0
+        if held:
+            send()
+        return out
+
+
+def model(path: str) -> Counter:
+    """One for each Python worker."""
+    if path not in _models:
+        _models[path] = Counter(path)
     return _models[path]
 
 
@@ -54,7 +98,7 @@ def version_of(path: str) -> str:
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "▁", " ")
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("▁"), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
@@ -75,26 +119,25 @@ def encoded(misses: DataFrame, model_path: str, version: str) -> DataFrame:
     """(digest, text) -> rows of the cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = model(model_path).encode
         for b in batches:
-            texts, counts, held, size = b.column("text"), [], [], 0
-            for k in range(len(b)):
-                held.append(texts[k].as_py())
-                size += len(held[-1])
-                if len(held) >= TEXTS or size >= BYTES or k == len(b) - 1:
-                    counts += [len(x) for x in encode(held, num_threads=1)]
-                    held, size = [], 0
+            counts = model(model_path).counts(t.as_py() for t in b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(b), pa.string()), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
-    return misses.select("digest", "text").mapInArrow(run, SCHEMA)
+    return arrow(misses.select("digest", "text"), run, SCHEMA)
 
 
-def fill(docs: DataFrame, cache_path: str, model_path: str, text_col: str = "text") -> str:
-    """Appends the counts of docs' contents that the cache lacks; returns the tokenizer's digest."""
+def fill(docs: DataFrame, cache_path: str, model_path: str, text_col: str = "text", digests: DataFrame | None = None) -> str:
+    """Appends the counts of docs' contents that the cache lacks; returns the tokenizer's digest. digests: those of all rows, if they are stored."""
     spark, version = docs.sparkSession, version_of(model_path)
-    texts = docs.select(digest(F.col(text_col)).alias("digest"), normalised(F.col(text_col)).alias("text"))
-    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti")
+    cached = read_cache(spark, cache_path, version).select("digest")
+    rows = docs.select(digest(F.col(text_col)).alias("digest"), normalised(F.col(text_col)).alias("text"))
+    found = (rows if digests is None else digests).groupBy("digest").agg((F.count("*") > 1).alias("several"))
+    found = found.join(cached.withColumn("known", F.lit(True)), "digest", "left")
+    apart = stored(found.where(F.col("several") | F.col("known")).select("digest"), "several_or_known")
+    told = marked(rows, F.col("digest"), apart, "apart")
+    alone = told.where(~F.col("apart")).select("digest", "text")
+    distinct = told.where("apart").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = alone.unionByName(distinct.join(cached, "digest", "left_anti"))
     encoded(misses, model_path, version).write.mode("append").parquet(cache_path)
     return version
 
@@ -112,9 +155,10 @@ def op2_token_cache(spark, sf_dir: str) -> DataFrame:
     """The cache starts empty for each call, unless the session names a lasting one in answerscope.token_cache."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    keyed = stored(docs.select("doc_id", n_bytes.alias("n_bytes"), digest(F.col("text")).alias("digest")), "digests")
     path = spark.conf.get("answerscope.token_cache", None) or new_path(spark, "token_cache")
-    version = fill(docs, path, public_tokenizers.path("piece_bpe_32k.model"))
-    keyed = docs.select("doc_id", "n_bytes", digest(F.col("text")).alias("digest"))
+    version = fill(docs, path, public_tokenizers.path("piece_bpe_32k.model"), digests=keyed.select("digest"))
     # stored, so that the join's sides are plain exchanges and a content of very many documents can be split
     return keyed.join(stored(read_cache(spark, path, version), "token_counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
