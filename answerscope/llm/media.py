@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 UNIT = 64
 RATE = 8000
@@ -114,12 +114,12 @@ def _mapped(df: DataFrame, added: str, compute) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *compute(b)], names=[*names, *new.names])
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def store(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with media: the text's bytes as a WAV file."""
-    return _mapped(df, "media binary", lambda b: [pa.array([to_wav(payload(t)) for t in b.column(text_col).cast(pa.binary()).to_pylist()], pa.binary())])
+    return _mapped(df, "media binary", lambda b: [pa.array([to_wav(payload(t.as_py())) for t in b.column(text_col).cast(pa.binary())], pa.binary())])
 
 
 def features(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -128,7 +128,8 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def compute(b: pa.RecordBatch) -> list[pa.Array]:
         rows = []
-        for media in b.column(media_col).to_pylist():
+        for stored in b.column(media_col):
+            media = stored.as_py()
             samples = from_wav(media)
             t, c = landmarks(samples)
             rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), t, c))
@@ -146,5 +147,5 @@ def op1_media_wav(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(":", F.size("fp_codes"), F.sha2(pairs, 256)).alias("feature"),
-        F.size("fp_codes").cast("long").alias("n_landmarks"),
+        F.size("fp_codes").cast("long").alias("n_landmarks"), "fp_times", "fp_codes",
     )
