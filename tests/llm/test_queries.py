@@ -385,7 +385,7 @@ def test_benchmark_in_blocks_finds_the_same(spark, folder):
     got = []
     for block_bytes in (1 << 20, 60):
         marked = decontamination.contamination(docs, bench, block_bytes=block_bytes)
-        got.append(Counter((r.key, r.n_words, r.n_hit, tuple(sorted((m.item_id, m.n_words) for m in r.matches))) for r in marked.collect()))
+        got.append(Counter((r.key, r.n_words, r.n_hit, tuple((m.item_id, m.doc_word, m.item_word, m.n_words) for m in r.matches), tuple(map(tuple, r.spans))) for r in marked.collect()))
     assert got[0] == got[1]
 
 
@@ -464,3 +464,78 @@ def test_spans_of_many_matches(spark):
     r = credentials.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
     assert [(s.start, s.end) for s in r.assign] == [(a, b) for a, _, b, k in base_spans(text) if k == "assign"] and len(r.assign) == 2000
     assert len(r.access) == 1 and not r.endpoint
+
+
+def test_sliced_counts_equal_whole_ones(monkeypatch):
+    import random
+
+    from answerscope.llm import token_cache
+
+    m = token_cache.model(public_tokenizers.path("piece_bpe_32k.model"))
+    assert m.sliceable
+    monkeypatch.setattr(token_cache, "SLICE", 50)
+    rng = random.Random(1)
+    pool = [" ", "  ", "   ", "a", "word", "Über", "中文", "\n", "\t", "é", "  x", ".", ", ", "\U0001f642", "0123"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "", " "]) for _ in range(rng.randint(0, 120))) for _ in range(1000)]
+    assert max(len(m.slices(t)) for t in texts) > 5
+    assert m.counts(texts) == [len(m.model.encode(t)) for t in texts]
+
+
+def test_marked_rows_hold_all_keys_and_few_others(spark):
+    from answerscope.llm import common
+
+    df = spark.range(50_000).withColumn("key", F.sha2(F.col("id").cast("string"), 256))
+    got = common.marked(df, F.col("key"), df.where("id % 97 = 0").select("key"), "hit").groupBy((F.col("id") % 97 == 0).alias("among"), "hit").count().collect()
+    n = {(r.among, r.hit): r["count"] for r in got}
+    assert n[True, True] == 516 and (True, False) not in n and n[False, True] < 1500
+    assert common.marked(df, F.col("key"), df.limit(0).select("key"), "hit").where("hit").count() == 0
+    nulls = spark.createDataFrame([(None,), ("a",)], "k string")
+    assert common.marked(nulls, F.col("k"), nulls, "hit").where("hit").count() == 2
+
+
+def word_rows(rng, n, words):
+    return [bytes(rng.choice(words)) for _ in range(n)]
+
+
+def test_suffix_arrays_against_brute_force():
+    """Covered words and the longest match of each item, with its places, over few words so that everything repeats."""
+    import random
+
+    from answerscope.llm import decontamination as D
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [b"w%d" % k for k in range(rng.choice([2, 3, 30]))]
+        items = [(f"i{k % 7}" if k % 5 else None, b" ".join(word_rows(rng, rng.choice([0, 1, 3, 9, 10, 11, 25, 60]), words))) for k in range(rng.randint(1, 9))]
+        items += items[:1]
+        docs = [word_rows(rng, rng.choice([0, 1, 5, 12, 80]), words + [b"x"]) for _ in range(rng.randint(0, 8))]
+        for d in docs[::2]:
+            t = D.words_of(rng.choice(items)[1])
+            d[len(d) // 2 : len(d) // 2] = t[rng.randint(0, 3) :]
+        hit, best = [set() for _ in docs], [{} for _ in docs]
+        for name, text in items:
+            t = D.words_of(text)
+            size = min(10, len(t))
+            for k, d in enumerate(docs):
+                for a in range(len(d)):
+                    for i in range(len(t)):
+                        n = 0
+                        while a + n < len(d) and i + n < len(t) and d[a + n] == t[i + n]:
+                            n += 1
+                        if size and n >= size:
+                            hit[k] |= set(range(a, a + n))
+                            if name is not None:
+                                best[k][name] = min(best[k].get(name, (0, 0, 0)), (-n, a, i))
+        for pairs in (1 << 20, 3):
+            covered, matches = D.search(docs, D.Tests(items), pairs)
+            assert [set(np.flatnonzero(c).tolist()) for c in covered] == hit, seed
+            assert [{m["item_id"]: (-m["n_words"], m["doc_word"], m["item_word"]) for m in row} for row in matches] == best, seed
+
+
+def test_a_passage_of_many_items_and_documents_takes_bounded_pairs():
+    from answerscope.llm import decontamination as D
+
+    passage = b" ".join(b"p%d" % k for k in range(30))
+    tests = D.Tests([(f"i{k}", b"own%d " % k + passage) for k in range(300)])
+    covered, matches = D.search([D.words_of(passage)] * 300, tests, 10_000)
+    assert all(c.all() for c in covered) and all(len(m) == 300 and m[0]["n_words"] == 30 for m in matches)
