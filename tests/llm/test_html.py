@@ -71,3 +71,51 @@ def test_any_markup_ends():
         html_main.extract("".join(rng.choice(parts) for _ in range(60)))
     for part in ("<!-- ", "<script>", "<b>", "<p class='", "</i>", "<a"):
         html_main.extract(part * 20_000)
+
+
+def test_the_scan_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(2000):
+        scores = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        sums = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max((s for s, *_ in sums), default=0)
+        start, end = html_main.best_stretch(scores)
+        assert sum(scores[start:end]) == max(best, 0)
+        if best > 0:  # nothing at its ends could be left out
+            assert all(sum(scores[start:k]) > 0 for k in range(start + 1, end + 1)) and all(sum(scores[k:end]) > 0 for k in range(start, end))
+
+
+def words_read(pages, model=None):
+    """(precision, recall, pages read exactly) by words, against what the content alone says."""
+    import html
+    import re
+    from collections import Counter
+
+    hit = got_n = want_n = exact = 0
+    for page in pages:
+        got = Counter(html_main.extract(html_main.html_of(page)).split())
+        want = Counter(html.unescape(re.sub("<[^>]*>", " ", html_main.content_of(page))).split())
+        hit, got_n, want_n, exact = hit + (got & want).total(), got_n + got.total(), want_n + want.total(), exact + (got == want)
+    return hit / got_n, hit / want_n, exact / len(pages)
+
+
+def test_templates_that_were_not_learned_from(monkeypatch):
+    for k in range(3):
+        known = [w for j, w in enumerate(html_main.WRAPPERS) if j % 3 != k]
+        monkeypatch.setattr(html_main, "_model", [html_main.learn(html_main.LABELLED + html_main.pages(html_main.N_PAGES, known))])
+        html_main._odds.cache_clear()
+        precision, recall, _ = words_read(html_main.pages(100, html_main.WRAPPERS[k::3], seed=99))
+        assert precision > 0.97 and recall > 0.99, (k, precision, recall)
+    html_main._odds.cache_clear()
+
+
+def test_without_the_scan_words_beside_the_content_stay(monkeypatch):
+    pages = html_main.pages(150, seed=42)
+    precision, recall, exact = words_read(pages)
+    monkeypatch.setattr(html_main, "best_stretch", lambda scores: (0, len(scores)))
+    without, same, fewer = words_read(pages)
+    assert without < precision - 0.01 and fewer < exact - 0.2 and recall > 0.99 <= same, (precision, exact, without, fewer)
+    page = "<article><p>The river rose in the night.</p></article><div>Contact the office in town.</div>"
+    assert "Contact" in html_main.extract(page)
+    monkeypatch.undo()
+    assert html_main.extract(page) == "The river rose in the night."
