@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import arrow, marked, partitions, stored, table
 from .components import components
 
 RADIUS = 3
@@ -71,10 +71,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def tree_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -183,7 +183,7 @@ def links(classes: DataFrame, n: int, heavy: int = HEAVY) -> DataFrame:
         if len(rest):
             yield close(rest)
 
-    return shards.select("mask", "key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return arrow(shards.select("mask", "key", "fp"), run, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,15 +200,23 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each component: the one with the smallest id, then the smallest text hash."""
-    # one key that is never null as a whole, so that removing repeated rows and the join share an exchange
+    """docs with one row for each component: the one with the smallest id, then the smallest text hash.
+
+    What stays is decided on narrow keys. Rows whose key surely is that of a single row that stays are kept where they
+    stand; only the others (copies, repeated rows, and the few that a bitmap takes for such) are shuffled.
+    """
+    # a key that is never null as a whole; its fields are nullable, as they are when read back
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
-    # fields nullable, as they are when read back: else the join would convert one side, past its partitioning
     rows = docs.withColumn("__key", key.cast(f"struct<id:{docs.schema[id_col].dataType.simpleString()},tag:bigint>"))
-    fps = grouped(rows.select("__key", F.col(text_col).alias("text")), "__key", "text")
-    kept = fps.groupBy("component_id").agg(F.min("doc_id").alias("__key")).select("__key")
-    # repeated rows go first: they combine before the exchange
-    return rows.dropDuplicates(["__key"]).join(kept, "__key", "left_semi").drop("__key")
+    named = stored(grouped(rows.select("__key", F.col(text_col).alias("text")), "__key", "text").select(F.col("doc_id").alias("key"), "component_id"), "named")
+    first = named.groupBy("component_id").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("stays"))
+    each = named.groupBy("key").agg((F.count("*") > 1).alias("several")).join(first, "key", "left")
+    apart = stored(each.where(F.col("several") | F.col("stays").isNull()).select("key", "stays"), "apart")
+    told = marked(rows, F.col("__key"), apart.select("key"), "__apart")
+    alone = told.where(~F.col("__apart"))
+    gone = apart.where(F.col("stays").isNull()).select(F.col("key").alias("__key"))
+    others = told.where("__apart").dropDuplicates(["__key"]).join(gone, "__key", "left_anti")
+    return alone.unionByName(others).drop("__key", "__apart")
 
 
 def op8_simhash_bk(spark, sf_dir: str) -> DataFrame:
