@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 UND = "und"
 GRAMS, BINS = (2, 3, 4), 2048
@@ -135,11 +135,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t).tobytes() for t in b.column("text").to_pylist()]
+            x = [features(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(x, pa.binary())], names=["lang", "h", "x"])
 
-    distinct = near.mapInArrow(once, "lang string, h long, text string").groupBy("lang", "h").agg(F.first("text").alias("text"))
-    ranked = distinct.mapInArrow(run, "lang string, h long, x binary").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    distinct = arrow(near, once, "lang string, h long, text string").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    ranked = arrow(distinct, run, "lang string, h long, x binary").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     found = ranked.where(F.col("rank") <= each).select("lang", "x").toPandas()
     if found.empty:
         return None
@@ -184,7 +184,7 @@ def predicted(docs: DataFrame, fitted: Model | None, text_col: str = "text") ->
                     langs[k] = name
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return arrow(docs.select(*names), run, schema)
 
 
 def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -194,7 +194,7 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([has_letter(t.as_py()) for t in b.column(text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def op5_language_ecoc(spark, sf_dir: str) -> DataFrame:

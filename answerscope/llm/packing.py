@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import arrow, new_path, table
 from .tokens import encoder
 
 WINDOW = 1024
@@ -138,7 +138,7 @@ def cut(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id"
 
     spark = docs.sparkSession
     path = new_path(spark, "pieces")
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    arrow(rows, run, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -167,7 +167,7 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for pieces in b.column("pieces").to_pylist():
+            for pieces in (x.as_py() for x in b.column("pieces")):
                 ids = np.full(window, pad_id, "<u4")
                 for p in pieces:
                     ids[p["offset"] : p["offset"] + p["length"]] = np.frombuffer(p["ids"], "<u4")
@@ -177,7 +177,7 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) ->
             yield pa.RecordBatch.from_arrays([b.column("sequence_id"), lists], names=["sequence_id", "ids"])
 
     grouped = placed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "length", "ids")).alias("pieces"))
-    return grouped.mapInArrow(run, "sequence_id long, ids array<int>")
+    return arrow(grouped, run, "sequence_id long, ids array<int>")
 
 
 def pack(docs: DataFrame) -> DataFrame:
