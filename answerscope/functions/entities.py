@@ -1,7 +1,7 @@
 """Dictionary matching of entities in text, as column expressions over a small dictionary.
 
 The dictionary is written into the plan as literals: every alias is one pattern, its hits come from the lengths of what
-lies between them, and overlaps are settled by one fold over the hits, longest first, then leftmost, then in dictionary
+lies between them, and overlaps are settled among hits that touch: longest first, then leftmost, then in dictionary
 order. Word characters are Unicode's; an apostrophe before an alias blocks it.
 """
 
@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound, grouped, running
+
 HIT = "struct<start:int,end:int,nth:int>"
 
 
@@ -54,15 +56,10 @@ def pattern(alias: str, case_sensitive: bool) -> str:
 def _hits(text: Column, alias: str, case_sensitive: bool, nth: int) -> Column:
     """Hits of one alias, from the lengths of what lies between them; every match is as long as the alias."""
     p, size = pattern(alias, case_sensitive), len(alias)
-    gaps = F.transform(F.split(text, p, -1), F.length)
-
-    def fold(acc: Column, gap: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + gap
-        return F.array_append(acc, F.struct(start.alias("start"), (start + size).alias("end"), F.lit(nth).alias("nth")))
-
-    none = F.expr(f"cast(array() as array<{HIT}>)")
-    found = F.element_at(F.transform(F.array(gaps), lambda g: F.aggregate(F.slice(g, 1, F.size(g) - 1), none, fold)), 1)
-    return F.when(text.contains(alias), found).otherwise(none) if case_sensitive else found
+    steps = F.transform(F.split(text, p, -1), lambda gap: F.length(gap) + size)
+    ends = bound(steps, lambda s: running(F.slice(s, 1, F.size(s) - 1)))
+    found = F.transform(ends, lambda e: F.struct((e - size).alias("start"), e.alias("end"), F.lit(nth).alias("nth")))
+    return F.when(text.contains(alias), found).otherwise(F.expr(f"cast(array() as array<{HIT}>)")) if case_sensitive else found
 
 
 def find_matches(text: Column, brands: list[Brand], unambiguous_only: bool = False) -> Column:
@@ -74,13 +71,22 @@ def find_matches(text: Column, brands: list[Brand], unambiguous_only: bool = Fal
         return none
     hits = F.concat(*[_hits(text, a, b.case_sensitive, n) for n, a, b in kept])
     key = lambda h: F.struct((h["start"] - h["end"]).alias("shorter"), h["start"].alias("start"), h["nth"].alias("nth"), h["end"].alias("end"))
-    longest_first = F.transform(F.array_sort(F.transform(hits, key)), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["nth"].alias("nth")))
 
-    def fold(acc: Column, h: Column) -> Column:
-        clash = F.exists(acc, lambda t: (h["start"] < t["end"]) & (t["start"] < h["end"]))
-        return F.when(clash, acc).otherwise(F.array_append(acc, h))
+    def settled(group: Column) -> Column:
+        longest_first = F.transform(F.array_sort(F.transform(group, key)), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["nth"].alias("nth")))
+
+        def fold(acc: Column, h: Column) -> Column:
+            clash = F.exists(acc, lambda t: (h["start"] < t["end"]) & (t["start"] < h["end"]))
+            return F.when(clash, acc).otherwise(F.array_append(acc, h))
+
+        return F.when(F.size(group) == 1, group).otherwise(F.array_sort(F.aggregate(longest_first, none, fold)))
+
+    def apart(a: Column) -> Column:
+        """Runs of hits that overlap one another, each settled by itself."""
+        reach = running(F.transform(a, lambda h: h["end"]), F.greatest)
+        return bound(reach, lambda r: F.flatten(F.transform(grouped(a, lambda h, i: h["start"] >= F.get(r, i - 1)), settled)))
 
-    return F.array_sort(F.aggregate(longest_first, none, fold))
+    return bound(F.array_sort(hits), apart)
 
 
 def entries(brands: list[Brand]) -> list[tuple[Brand, str]]:

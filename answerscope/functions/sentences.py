@@ -1,7 +1,8 @@
 """Markdown cleaning and sentence splitting, as column functions.
 
-Answers are cleaned line by line. What a line means depends on lines before and after it (chips that follow an icon,
-soft wraps), so both passes are folds over the array of lines; everything runs inside the row.
+Answers are cleaned line by line, inside the row. What a line means depends on lines beside it (chips that follow an
+icon, soft wraps): never on more than the nearest line that counts, so each line is judged by its place in the array
+and nothing is carried along. Time grows with the text.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound, grouped
+
 ITEM = "• "
 ICON = "\u0000favicon"
 # Line classes and abbreviations.
@@ -22,8 +25,12 @@ SITE_LINE = r"(?iU)^\s*[\w-]+(\.[\w-]+)*\.(com|id|org|net|co|io|app)\s*$"
 BUTTON = "Add to Favorites"
 ABBREVIATIONS = ("p.a", "tbk", "dll", "no", "dsb", "dst", "pt", "jl", "dr", "vs", "e.g", "i.e", "rp", "sdr", "bpk", "ibu", "st")
 BREAK = r"""(?U)([.?!]["'”’)\]]*)\s+(?=[A-Z0-9"“(])"""
-#: Stands for a sentence break while a paragraph is split; not a character of text.
-CUT = "\u0001"
+CLOSED = r"""[.?!]["'”’)\]]*$"""
+# Inline markup, in the order in which it goes.
+INLINE = [
+    (r"(?i)<br\s*/?>", " "), (IMAGE, ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*\*|__|`", ""),
+    (r"(?U)(?<!\w)\*(?!\s)|(?<!\s)\*(?!\w)", ""), (r"\\([\\`*_{}\[\]()#+\-.!&|~<>])", "$1"), (r"(?U)\s+", " "),
+]
 
 
 def strip(x: Column) -> Column:
@@ -31,18 +38,9 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def bound(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def inline(x: Column) -> Column:
     """Text of one line without inline markup."""
-    steps = [
-        (r"(?i)<br\s*/?>", " "), (IMAGE, ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*\*|__|`", ""),
-        (r"(?U)(?<!\w)\*(?!\s)|(?<!\s)\*(?!\w)", ""), (r"\\([\\`*_{}\[\]()#+\-.!&|~<>])", "$1"), (r"(?U)\s+", " "),
-    ]
-    for pattern, new in steps:
+    for pattern, new in INLINE:
         x = F.regexp_replace(x, pattern, new)
     return strip(F.regexp_replace(strip(x), r"^\|+|\|+$", ""))
 
@@ -52,22 +50,27 @@ def _is_marker(line: Column) -> Column:
 
 
 def join_soft_wraps(lines: Column) -> Column:
-    """Lines of one block as one line, unless a line starts an item, a table row, a heading or a marker."""
+    """Lines of one block as one line, unless a line starts an item, a table row, a heading or a marker.
+
+    A line goes on in the next one unless it is blank, a marker or a table row.
+    """
 
-    def fold(acc: Column, line: Column) -> Column:
-        text = strip(line)
-        marker = _is_marker(line)
-        starts = marker | line.rlike(LIST) | text.startswith("|") | text.startswith("#")
-        last = F.element_at(acc["out"], -1)
-        joined = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(F.regexp_replace(last, r"(?U)\s+$", ""), F.lit(" "), text)))
-        return (
-            F.when(text == "", F.struct(F.array_append(acc["out"], F.lit("")).alias("out"), F.lit(False).alias("open")))
-            .when(acc["open"] & ~starts, F.struct(joined.alias("out"), F.lit(True).alias("open")))
-            .otherwise(F.struct(F.array_append(acc["out"], line).alias("out"), (~marker & ~text.startswith("|")).alias("open")))
-        )
+    def judged(line: Column) -> Column:
+        text, marker = strip(line), _is_marker(line)
+        row = text.startswith("|")
+        return F.struct(
+            line.alias("line"), text.alias("text"), ((text != "") & ~marker & ~row).alias("open"),
+            ((text == "") | marker | row | line.rlike(LIST) | text.startswith("#")).alias("starts"),
+        )
 
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(False).alias("open"))
-    return F.aggregate(lines, start, fold, lambda acc: acc["out"])
+    def block(part: Column) -> Column:
+        rest = F.transform(F.slice(part, 2, F.size(part)), lambda x: x["text"])
+        first = F.element_at(part, 1)
+        whole = F.concat_ws(" ", F.regexp_replace(first["line"], r"(?U)\s+$", ""), F.array_join(rest, " "))
+        return F.when(F.size(part) > 1, whole).when(first["text"] == "", "").otherwise(first["line"])
+
+    of = lambda a: grouped(a, lambda x, i: x["starts"] | ~F.get(a, i - 1)["open"])
+    return F.transform(bound(F.transform(lines, judged), of), block)
 
 
 def _line_text(line: Column) -> Column:
@@ -90,23 +93,23 @@ def clean_lines(body: Column) -> Column:
     body = F.regexp_replace(body, r"(?imU)^\s*(<br\s*/?>\s*)+", "")
     kept = F.filter(join_soft_wraps(F.split(body, "\n")), lambda x: strip(x) != "")
 
-    def fold(acc: Column, x: Column) -> Column:
-        line, after = x["line"], acc["after"]
-        state = lambda out, flag: F.struct(out.alias("out"), F.lit(flag).alias("after"))
-        few = (F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")) <= 4) & ~line.rlike(LIST)
-        chip = after & (F.coalesce(x["next"], F.lit("")).rlike(PLUS) | few)
-        clean = _line_text(line)
-        return (
-            F.when(strip(F.regexp_replace(strip(line), r"^\|+|\|+$", "")) == "", acc)
-            .when(strip(line) == ICON, state(acc["out"], True))
-            .when(line.rlike(SITE_LINE), acc)
-            .when(_is_marker(line) | line.rlike(TABLE_RULE) | chip, state(acc["out"], False))
-            .otherwise(state(F.when(clean.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], clean)), False))
-        )
-
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(False).alias("after"))
-    with_next = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("line"), F.get(a, i + 1).alias("next")))
-    return bound(kept, lambda a: F.aggregate(with_next(a), start, fold, lambda acc: acc["out"]))
+    def judged(a: Column) -> Column:
+        return F.transform(
+            a,
+            lambda x, i: F.struct(
+                x.alias("line"), (strip(x) == ICON).alias("icon"), F.coalesce(F.get(a, i + 1), F.lit("")).rlike(PLUS).alias("counted"),
+                ((strip(F.regexp_replace(strip(x), r"^\|+|\|+$", "")) == "") | x.rlike(SITE_LINE)).alias("aside"),
+                (_is_marker(x) | x.rlike(TABLE_RULE)).alias("marker"),
+                ((word_count(x) <= 4) & ~x.rlike(LIST)).alias("few"),
+            ),
+        )
+
+    def cleaned(a: Column) -> Column:
+        chip = lambda x, i: F.coalesce(F.get(a, i - 1)["icon"], F.lit(False)) & (x["counted"] | x["few"])
+        return F.transform(a, lambda x, i: F.when(~x["marker"] & ~chip(x, i), _line_text(x["line"])))
+
+    # lines that stand aside neither show nor count as what comes before a line
+    return F.array_compact(bound(F.filter(bound(kept, judged), lambda x: ~x["aside"]), cleaned))
 
 
 def clean_body(body: Column) -> Column:
@@ -114,17 +117,15 @@ def clean_body(body: Column) -> Column:
 
 
 def split_paragraph(paragraph: Column) -> Column:
-    """Sentences of one line. A piece that ends in an abbreviation goes on in the next."""
-    pieces = F.split(F.regexp_replace(paragraph, BREAK, f"$1{CUT}"), CUT)
+    """Sentences of one line. A piece that ends in an abbreviation goes on in the next. A line feed ends a sentence, too."""
 
-    def fold(acc: Column, piece: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        word = F.lower(F.regexp_replace(F.element_at(F.split(strip(F.regexp_replace(last, r"""[.?!]["'”’)\]]*$""", "")), r"(?U)\s+"), -1), r"\.+$", ""))
-        go_on = (F.size(acc) > 0) & last.rlike(r"""[.?!]["'”’)\]]*$""") & word.isin(*ABBREVIATIONS)
-        return F.when(go_on, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), piece)))).otherwise(F.array_append(acc, piece))
+    def go_on(piece: Column) -> Column:
+        word = F.regexp_extract(strip(F.regexp_replace(piece, CLOSED, "")), r"(?U)(\S*)$", 1)
+        return piece.rlike(CLOSED) & F.lower(F.regexp_replace(word, r"\.+$", "")).isin(*ABBREVIATIONS)
 
-    joined = F.aggregate(pieces, F.expr("cast(array() as array<string>)"), fold)
-    return F.filter(F.transform(joined, strip), lambda s: s != "")
+    pieces = F.split(F.regexp_replace(paragraph, BREAK, "$1\n"), "\n")
+    of = lambda a: grouped(a, lambda x, i: ~go_on(F.get(a, i - 1)))
+    return F.filter(F.transform(bound(pieces, of), lambda part: strip(F.array_join(part, " "))), lambda s: s != "")
 
 
 def split_sentences(lines: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound
+
 # The headings that open an answer's list of sources, and what a URL looks like in text.
 HEADINGS = r"links?[ \t]+cited|sumber[ \t]*&[ \t]*referensi[ \t]+link|\d+[ \t]+(?:referensi[ \t]+dan[ \t]+)?tautan[ \t]+sumber"
 URL = r"""https?://[^\s\)\]\>"'`<]+"""
 #: A heading alone on its line; greedy before it, so that the last one counts.
 LAST_HEADING = rf"(?is)^(.*(?:^|\n)|)[ \t]*#{{0,4}}[ \t]*(?:{HEADINGS})[ \t]*\r?(?=\n|$)(.*)$"
-#: A redirect may wrap another; deeper nesting than this isn't unwrapped.
-UNWRAPS = 4
+#: The shortest redirect without its target: each one that wraps another takes so many characters at least.
+LEAST_WRAP = len("http://google./search?q=")
 
 
 def newlines(text: Column) -> Column:
@@ -75,14 +77,16 @@ def trimmed(url: Column) -> Column:
 
 
 def unwrapped(url: Column) -> Column:
-    """The target of a search redirect, else the URL; either without punctuation at its end."""
-    out = trimmed(url)
-    for _ in range(UNWRAPS):
-        q = F.filter(pairs(query(out)), lambda p: (p["k"] == "q") & (p["v"] != ""))
+    """The target of a search redirect, however deeply nested, else the URL; either without punctuation at its end."""
+
+    def step(u: Column, _: Column) -> Column:
+        q = F.filter(pairs(query(u)), lambda p: (p["k"] == "q") & (p["v"] != ""))
         target = F.coalesce(F.get(q, F.lit(0))["v"], F.lit(""))
-        hit = domain_of(out).startswith("google.") & (path(out) == "/search") & target.startswith("http")
-        out = F.when(hit, trimmed(target)).otherwise(out)
-    return out
+        hit = domain_of(u).startswith("google.") & (path(u) == "/search") & target.startswith("http")
+        return F.when(hit, trimmed(target)).otherwise(u)
+
+    most = F.sequence(F.lit(0), (F.length(url) / LEAST_WRAP).cast("int"))  # steps beyond the last redirect change nothing
+    return F.when(F.lower(url).contains("google."), F.aggregate(most, trimmed(url), step)).otherwise(trimmed(url))
 
 
 def _normalized(url: Column) -> Column:
@@ -93,8 +97,7 @@ def _normalized(url: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """One spelling: https, lower-case host without www., no slash at the end, no fragment, no utm_ parameters."""
-    # bound once: the redirect chain is a deep expression
-    return F.element_at(F.transform(F.array(unwrapped(url)), _normalized), 1)
+    return bound(unwrapped(url), _normalized)
 
 
 def extract_citations(answers: DataFrame, section_col: str = "section") -> DataFrame:
