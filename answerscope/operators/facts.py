@@ -36,7 +36,7 @@ def pillar_counts(answers: DataFrame, mentions: DataFrame, excluded_prompts: Dat
         a = a.join(excluded_prompts.select("prompt_no").distinct(), "prompt_no", "left_anti")
     n = a.groupBy("pillar").agg(F.count("*").alias("n"))
     named = mentions.select("answer_id", "brand").distinct().join(a, "answer_id").groupBy("pillar", "brand").agg(F.count("*").alias("named"))
-    return named.join(F.broadcast(n), "pillar").select("pillar", "brand", "n", "named", (F.col("named") / F.col("n")).alias("mention_rate"))
+    return named.join(n, "pillar").select("pillar", "brand", "n", "named", (F.col("named") / F.col("n")).alias("mention_rate"))
 
 
 def pillar_leaders(counts: DataFrame) -> DataFrame:
@@ -137,6 +137,20 @@ def prompt_grid(answers: DataFrame) -> DataFrame:
     return answers.groupBy("pillar", "intent").agg(F.countDistinct("prompt_no").alias("prompts"), F.count("*").alias("answers"))
 
 
+def grid_totals(answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: distinct prompts, pillars and intents, and the pages that were read as a browser rendered them."""
+    rendered = pages.agg(F.count_if(F.col("body_source") == "rendered").alias("rendered_pages"))
+    return answers.agg(*[F.countDistinct(c).alias(name) for c, name in (("prompt_no", "prompts"), ("pillar", "pillars"), ("intent", "intents"))]).crossJoin(rendered)  # one row each
+
+
+def lookup(df: DataFrame, wanted: dict[str, str], column: str) -> DataFrame:
+    """(column) of the row with the wanted labels; more than one such row is an error, none a null."""
+    rows = df
+    for name, label in wanted.items():
+        rows = rows.where(F.col(name) == label)
+    return rows.agg(F.when(F.count("*") > 1, F.raise_error(F.lit(f"{wanted} is not one row"))).otherwise(F.first(column)).alias(column))
+
+
 def dated(recency: DataFrame) -> DataFrame:
     """Readable citations, and those with a structured date."""
     r = recency.where("cut = 'engine' and value = 'All' and basis = 'structured dates only'")

@@ -118,6 +118,7 @@ STAR: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
+    from .shape_queries import SHAPES
     from .text_queries import TEXT
 
-    return {name: (lambda s, d, f=f: settled(f(s, d))) for name, f in (STAR | TEXT).items()}
+    return {name: (lambda s, d, f=f: settled(f(s, d))) for name, f in (STAR | TEXT | SHAPES).items()}

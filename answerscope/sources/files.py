@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import zipfile
+from io import BytesIO
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,12 @@ from ..plans.config import Config
 from ..plans.schemas import SCHEMAS
 
 
-def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """Only an empty cell is null. With a table's name the schema is the model's, and the header must match it."""
+def read_csv(spark: SparkSession, path: str, table: str | None = None, schema=None) -> DataFrame:
+    """Only an empty cell is null. With a schema, or a table's name for that of the model, the header must match it."""
     options = {"header": True, "multiLine": True, "escape": '"', "nullValue": "", "emptyValue": "", "enforceSchema": False}
     reader = spark.read.options(**options)
-    return reader.schema(SCHEMAS[table]).csv(path) if table else reader.csv(path, inferSchema=True)
+    schema = SCHEMAS[table] if table else schema
+    return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -45,14 +48,19 @@ def read_config(path: str) -> Config:
         return Config.of(yaml.safe_load(f))
 
 
-def read_brands(path: str) -> list[Brand]:
+def brands_of(text: str) -> list[Brand]:
+    """The dictionary that a YAML text says."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        entries = yaml.safe_load(f)
+    entries = yaml.safe_load(text) or []
     return checked([Brand(e["brand"], e.get("parent"), e["type"], tuple(e["aliases"]), bool(e.get("case_sensitive")), tuple(e.get("ambiguous_aliases") or ())) for e in entries])
 
 
+def read_brands(path: str) -> list[Brand]:
+    with open(path, encoding="utf-8") as f:
+        return brands_of(f.read())
+
+
 def brands_frame(spark: SparkSession, brands: list[Brand]) -> DataFrame:
     return spark.createDataFrame([(b.brand, b.parent, b.type, list(b.aliases), b.case_sensitive, b.ambiguous, list(b.ambiguous_aliases)) for b in brands], SCHEMAS["brands"])
 
@@ -69,7 +77,19 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring_index(name, ".", 1).alias("key"), F.regexp_extract(name, r"^[^.]*(.*)$", 1).alias("suffix"), F.col("content").alias("body"))
 
 
-def sheet_rows(path: str) -> list[dict[str, str]]:
+def sheet_bytes(header: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of one sheet of texts; nulls are left out."""
+    out = BytesIO()
+    place = lambda c: chr(65 + c) if c < 26 else chr(64 + c // 26) + chr(65 + c % 26)
+    cell = lambda r, c, v: f'<c r="{place(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v), {chr(13): "&#13;"})}</t></is></c>'
+    lines = ["".join(cell(r, c, v) for c, v in enumerate(row) if v is not None) for r, row in enumerate([header, *rows], 1)]
+    body = "".join(f'<row r="{r}">{line}</row>' for r, line in enumerate(lines, 1))
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def sheet_rows(path: str | BytesIO) -> list[dict[str, str]]:
     """Rows of a workbook's first sheet by its header, with the standard library."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(path) as z:
@@ -97,7 +117,7 @@ def sheet_rows(path: str) -> list[dict[str, str]]:
     return [{name: r.get(k, "") for k, name in header.items()} for r in rows[1:]]
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str | BytesIO) -> DataFrame:
     rows = sheet_rows(path)
     names = list(rows[0]) if rows else []
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"`{n}` string" for n in names) or "empty string")
