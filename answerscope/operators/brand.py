@@ -71,9 +71,9 @@ def brand_table(answers: DataFrame, sentences: DataFrame, mentions: DataFrame, s
         F.avg("score").alias("sentiment_mean"), *flags
     ).select(*every, "brand", "sentiment_mean", *LABELS.values())
     groups = ids.groupingSets([[F.col(c) for c in s] for s in sets()], *[F.col(c) for c in keys]).agg(F.count("*").alias("n")).select(*every, "n")
-    # dimension tables only: the groups and the brands that exist
+    # every brand that exists in every group that exists: the rows of the result. Which side is sent around is left to Spark
     brands = mentions.select("brand").where(F.col("brand").isNotNull()).distinct()
-    grid = groups.join(F.broadcast(brands))
+    grid = groups.crossJoin(brands)
     on = [*keys, "brand"]
     in_cut = Window.partitionBy(*keys)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

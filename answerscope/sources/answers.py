@@ -18,7 +18,7 @@ def load_answers(sheet: DataFrame, reruns: DataFrame | None, cfg: Config) -> Dat
     prefix = F.create_map(*[F.lit(x) for kv in cfg.engines.items() for x in kv])[F.col("engine")]
     long = long.withColumn("prefix", prefix)
     if reruns is not None:
-        long = override(long, F.broadcast(reruns), ["prefix", "prompt_no"], "answer_raw")
+        long = override(long, reruns, ["prefix", "prompt_no"], "answer_raw")
     return long.select(
         urls.answer_id(F.col("prefix"), F.col("prompt_no")).alias("answer_id"), "engine", "prompt_no", "pillar", "intent", "prompt",
         urls.newlines(F.col("answer_raw")).alias("answer_raw"), F.lit(cfg.run_date).cast("date").alias("run_date"),

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zlib
 from zipfile import ZipFile
@@ -13,10 +14,10 @@ from answerscope.sources import answers as A
 from answerscope.sources import crawl, files
 from answerscope.sources.pdf import extract_pdf
 from answerscope.streaming import crawl_cache
-from tests.six_answers import CFG, tables
+from tests.tea_answers import CFG, tables
 
-ARTICLE = """<html><head><title>Suku &amp; bunga</title><script type="application/ld+json">{"@graph": [{"@type": "NewsArticle", "datePublished": "2026-08-07T10:00"},
- {"@type": ["Organization", "Corporation"]}]}</script><script type="application/ld+json">not json</script></head><body><nav>Menu</nav><article><p>""" + "kata " * 60 + "</p></article></body></html>"
+ARTICLE = """<html><head><title>Leaf &amp; root</title><script type="application/ld+json">{"@graph": [{"@type": ["BlogPosting", "Thing"], "datePublished": "2025-02-03T04:05"},
+ {"publisher": {"@type": "Organization"}}]}</script><script type="application/ld+json">{broken</script></head><body><nav>Menu</nav><article><p>""" + "leaf " * 70 + "</p></article></body></html>"
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -30,7 +31,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_yaml(spark, tmp_path):
-    (tmp_path / "c.yaml").write_text("run_date: '2026-10-09'\nlow_n_answers: 2\n")
+    (tmp_path / "c.yaml").write_text("run_date: '2025-03-31'\nlow_n_answers: 2\n")
     (tmp_path / "b.yaml").write_text("- {brand: A, type: x, aliases: [A, Aa], ambiguous_aliases: [Aa]}\n- {brand: B, parent: A, type: y, aliases: [B], case_sensitive: true}\n")
     assert files.read_config(str(tmp_path / "c.yaml")).low_n_answers == 2
     brands = files.read_brands(str(tmp_path / "b.yaml"))
@@ -38,7 +39,7 @@ def test_yaml(spark, tmp_path):
 
 
 def workbook(path):
-    rows = [["#", "Pillar", "Intent", "Prompt", "ChatGPT", "Gemini"], ["1", "Fees", "Best", "p", "Isi.\r\nLinks cited\r\n1. https://a.id/x", "Satu.\nLinks cited\nhttps://b.id"]]
+    rows = [["#", "Pillar", "Intent", "Prompt", "North", "South"], ["7", "Price", "List", "Which tea?", "Alder.\r\nLinks cited\r\n- https://guild.example/a", "Birch.\nLink cited\nhttps://paper.example"]]
     cell = lambda c, r, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">{v.replace(chr(13), "&#13;")}</t></is></c>'
     body = "".join(f'<row r="{r}">' + "".join(cell(c, r, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
     with ZipFile(path, "w") as z:
@@ -49,12 +50,12 @@ def test_sheet_to_citations(spark, tmp_path):
     from answerscope.functions import urls
 
     workbook(tmp_path / "w.xlsx")
-    reruns = spark.createDataFrame([("gem", 1, "Baru.\nLinks cited\nhttps://c.id/")], "prefix string, prompt_no int, answer_raw string")
-    df = A.with_sections(A.load_answers(files.read_sheet(spark, str(tmp_path / "w.xlsx")), reruns, Config()))
+    reruns = spark.createDataFrame([("sou", 7, "Cedar.\nLinks cited\nhttps://forum.example/")], "prefix string, prompt_no int, answer_raw string")
+    df = A.with_sections(A.load_answers(files.read_sheet(spark, str(tmp_path / "w.xlsx")), reruns, CFG))
     rows = {r.answer_id: r for r in df.collect()}
-    assert rows["gpt-01"].answer_body == "Isi." and rows["gem-01"].answer_body == "Baru." and str(rows["gpt-01"].run_date) == "2026-10-09"
+    assert rows["nor-07"].answer_body == "Alder." and rows["sou-07"].answer_body == "Cedar." and str(rows["nor-07"].run_date) == "2025-03-31"
     cited = urls.extract_citations(df)
-    assert {(r.answer_id, r.rank, r.url) for r in cited.collect()} == {("gpt-01", 1, "https://a.id/x"), ("gem-01", 1, "https://c.id")}
+    assert {(r.answer_id, r.rank, r.url) for r in cited.collect()} == {("nor-07", 1, "https://guild.example/a"), ("sou-07", 1, "https://forum.example")}
     assert schemas.assert_counts(df, cited, {"answers": 2, "citations": 2, "unique_urls": 2, "domains": 2})["answers"] == 2
     with pytest.raises(schemas.ContractError):
         schemas.assert_counts(df, cited, {"answers": 3})
@@ -62,8 +63,8 @@ def test_sheet_to_citations(spark, tmp_path):
 
 def test_contracts(spark):
     t = tables(spark)
-    assert schemas.subset(t["citations"], t["domains"], ["domain"]).count() == 0
-    assert [r.brand for r in schemas.repeated(t["mentions"].where("answer_id = 'gem-01'"), ["answer_id", "sent_idx", "brand"]).collect()] == ["Bank Jago"]
+    assert [r.domain for r in schemas.subset(t["citations"], t["domains"], ["domain"]).collect()] == ["shop.example"]
+    assert [(r.sent_idx, r.brand) for r in schemas.repeated(t["mentions"], ["answer_id", "sent_idx", "brand"]).collect()] == [(2, "Alder Tea")]
     with pytest.raises(schemas.ContractError):
         schemas.has_columns(t["pages"], ["nope"])
 
@@ -77,46 +78,50 @@ def test_text_and_binary_files(spark, tmp_path):
 
 
 def test_html_fields():
-    d = P.extract_html(ARTICLE, "https://news.example.id/a")
-    assert (d["title"], d["published_date"], d["date_source"]) == ("Suku & bunga", "2026-08-07", "jsonld")
-    assert d["schema_types"] == ["Corporation", "NewsArticle", "Organization"] and d["n_words"] == 60
-    assert P.extract_html('<meta property="article:published_time" content="2026-01-02T00:00">')["date_source"] == "meta"
-    assert P.extract_html("<p>x</p>", "https://a.id/2026/03/04/x")["published_date"] == "2026-03-04"
-    assert P.walk_jsonld([{"@type": "A", "x": [{"@type": ["B"], "datePublished": 2026}]}]) == (["A", "B"], ["2026"])
+    d = P.extract_html(ARTICLE, "https://guild.example/a")
+    assert (d["title"], d["published_date"], d["date_source"]) == ("Leaf & root", "2025-02-03", "jsonld")
+    assert d["schema_types"] == ["BlogPosting", "Organization", "Thing"] and d["n_words"] == 70
+    assert P.extract_html('<meta property="article:published_time" content="2025-01-02T00:00">')["date_source"] == "meta"
+    assert P.extract_html("<p>x</p>", "https://guild.example/2025/03/04/x")["published_date"] == "2025-03-04"
+    assert P.walk_jsonld([{"@type": "A", "x": [{"@type": ["B"], "datePublished": 2025}]}]) == (["A", "B"], ["2025"])
 
 
 def pdf():
-    stream = zlib.compress(b"BT (Laporan \\(2026\\)) Tj T* <4142> Tj ET")
+    stream = zlib.compress(b"BT (Harvest \\(2025\\)) Tj T* <4142> Tj ET")
     objects = [b"<< /Type /Pages /Kids [2 0 R 3 0 R] /Count 2 >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Filter /FlateDecode >> stream\n" + stream + b"\nendstream"]
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj %s endobj\n" % (k, o) for k, o in enumerate(objects, 1))
 
 
 def test_pdf():
     d = extract_pdf(pdf(), 1)
-    assert d["n_pages"] == 2 and d["text"].split() == ["Laporan", "(2026)", "AB"] and d["n_words"] == 3
+    assert d["n_pages"] == 2 and d["text"].split() == ["Harvest", "(2025)", "AB"] and d["n_words"] == 3
 
 
 def test_page_rows(spark):
-    meta = [("u1", 200, None, "html", "", "2026-10-09T07:10:00+00:00", ARTICLE.encode()), ("u2", 200, None, "html", "utf-8", "2026-10-09T07:10:00+00:00", b"<title>Halaman Tidak Ditemukan</title><p>" + b"kata " * 80),
-            ("u3", 200, None, "html", None, "2026-10-09T07:10:00+00:00", b"<time datetime=2026-10-08></time><p>" + b"kata " * 80), ("u4", 403, "", "html", None, "2026-10-09T07:10:00+00:00", None),
-            ("u5", 200, None, "pdf", None, "2026-10-09T07:10:00+00:00", b"broken"), ("u6", 200, None, "pdf", None, None, pdf())]
+    at, long = "2025-03-30T09:00:00+00:00", b"leaf " * 80
+    meta = [("u1", 200, None, "html", "", at, ARTICLE.encode()), ("u2", 200, None, "html", "utf-8", at, b"<title>Sorry, page not found</title><p>" + long),
+            ("u3", 200, None, "html", None, at, b"<time datetime=2025-03-28></time><p>" + long), ("u4", 500, "", "html", None, at, None),
+            ("u5", 200, None, "pdf", None, at, b"no pdf"), ("u6", 200, None, "pdf", None, None, pdf()), ("u7", 200, None, "html", None, at, b"<time datetime=2025-03-26></time><p>" + long)]
     df = spark.createDataFrame(meta, "url string, http_status int, fetch_error string, content_kind string, encoding string, fetched_at string, body binary").withColumn("final_url", F.col("url"))
     rows = {r.url: r for r in P.page_rows(df.drop("body", "encoding"), P.extracted(df.select("url", "content_kind", "encoding", "body")), Config()).collect()}
     assert rows["u1"].is_readable and rows["u1"].has_org_schema and rows["u1"].has_article_schema and not rows["u1"].has_faq_schema
     assert (rows["u2"].soft_404, rows["u2"].is_readable) == (True, False)
-    assert (rows["u3"].published_date, rows["u3"].date_source) == ("", "htmldate_near_crawl")
+    assert [(rows[u].published_date, rows[u].date_source) for u in ("u3", "u7")] == [("", "htmldate_near_crawl"), ("2025-03-26", "htmldate")]
     assert (rows["u4"].is_readable, rows["u5"].fetch_error, rows["u6"].n_pages) == (False, "extract_error: ValueError", 2)
 
 
 def test_small_page_functions(spark):
-    df = spark.createDataFrame([("application/pdf", "https://x/a", "7"), ("text/html; charset=utf-8", "https://x/a", None), ("", "https://x/a.PDF?x", "999"), ("image/png", "https://x/a.png", "Wed, 21 Oct")], "t string, u string, w string")
-    rows = df.select(P.content_kind(F.col("t"), F.col("u")), P.retry_wait(F.col("w"))).collect()
-    assert [tuple(r) for r in rows] == [("pdf", 7), ("html", 5), ("pdf", 30), ("other", 5)]
-    titles = ["404", "404 Error Page", "Halaman Tidak Ditemukan", "Page Not Found | Bank", "BNI Taplus | BNI", None, "4045"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(P.soft_404(F.col("t"))).collect()]
-    assert got == [True, True, True, True, False, False, False]
-    r = spark.range(1).select(P.iso_date(F.lit(" 2026-08-07T1")), P.iso_date(F.lit("x")), P.cache_key(F.lit("a")), P.html_title(F.lit("<TITLE a>\n x  y</title>")), P.needs_render(F.lit(200), F.lit("html"), F.lit(10), 50), P.needs_render(F.lit(403), F.lit("html"), F.lit(0), 50)).first()
-    assert list(r) == ["2026-08-07", "", "86f7e437faa5a7fce15d1ddcb9eaeaea377667b8", "x y", True, False]
+    kinds = {("application/x-pdf", "https://x/a"): "pdf", ("Text/HTML", "https://x/a"): "html", ("", "https://x/a.PDF?x"): "pdf", ("application/xml", "https://x"): "html", (None, "https://x/a.gif"): "other"}
+    df = spark.createDataFrame([(*k, v) for k, v in kinds.items()], "t string, u string, kind string")
+    assert df.where(P.content_kind(F.col("t"), F.col("u")) != F.col("kind")).count() == 0
+    waits = {"12": 12, " 3 ": 3, "0": 0, None: 5, "": 5, "31": 30, "99999999999999999999": 30, "-4": 5, "2.5": 5, "Mon, 31 Mar": 5}
+    df = spark.createDataFrame(list(waits.items()), "w string, seconds int")
+    assert df.where(P.retry_wait(F.col("w")) != F.col("seconds")).count() == 0
+    titles = {"Oops, 404": True, "Error Page": True, "Teh tidak ditemukan": True, "Tea Not Found - Guild": True, "Guild | Tea": False, None: False, "14041": False}
+    df = spark.createDataFrame(list(titles.items()), "t string, soft boolean")
+    assert df.where(P.soft_404(F.col("t")) != F.col("soft")).count() == 0
+    r = spark.range(1).select(P.iso_date(F.lit(" 2025-02-03T1")), P.iso_date(F.lit("3 Feb")), P.cache_key(F.lit("tea")), P.html_title(F.lit("<TITLE a>\n x  y</title>")), P.needs_render(F.lit(200), F.lit("html"), F.lit(10), 50), P.needs_render(F.lit(500), F.lit("html"), F.lit(0), 50)).first()
+    assert list(r) == ["2025-02-03", "", hashlib.sha1(b"tea").hexdigest(), "x y", True, False]
     b = spark.createDataFrame([(b"r", b"w", True), (None, b"w", True), (b"r", b"w", False), (None, None, None)], "r binary, w binary, f boolean")
     assert [r[0].source for r in b.select(P.loaded_body(F.col("r"), F.col("w"), F.col("f"))).collect()] == ["rendered", "raw", "raw", ""]
 
@@ -132,36 +137,56 @@ def site():
 
     def get(url, timeout):
         if url.endswith("/robots.txt"):
-            return Answer(200, "User-agent: *\nDisallow: /private\n") if "a.id" in url else Answer(503)
-        if url.endswith("/slow"):
+            return Answer(200, "User-agent: *\nDisallow: /cellar\n") if "guild" in url else Answer(502)
+        if url.endswith("/stuck"):
             raise TimeoutError
-        return Answer(404 if url.endswith("/gone") else 200, "<p>x</p>", url=url)
+        return Answer(410 if url.endswith("/old") else 200, "<p>x</p>", url=url)
 
     return get
 
 
-def test_robots():
-    rules = "User-agent: *\nDisallow: /private\n"
-    for answer, url, expected in [(Answer(200, rules), "/private/x", (False, "robots_disallowed")), (Answer(200, rules), "/ok", (True, "")), (Answer(404), "/x", (True, "")), (Answer(403), "/x", (True, "")), (Answer(503), "/x", (False, "robots_unreachable"))]:
-        assert crawl.Robots(lambda u, timeout, a=answer: a).decide("https://a.id" + url) == expected
-    calls = []
-    r = crawl.Robots(lambda u, timeout: calls.append(u) or Answer(404))
-    r.decide("https://a.id/1"), r.decide("https://a.id/2")
-    assert calls == ["https://a.id/robots.txt"]
-
-    def fails(u, timeout):
+@pytest.mark.parametrize(
+    "status, rules, page, expected",
+    [
+        (200, "User-agent: *\nDisallow: /cellar", "/cellar/key", (False, "robots_disallowed")),
+        (200, "User-agent: *\nDisallow: /cellar", "/garden", (True, "")),
+        (206, "User-agent: other\nDisallow: /", "/garden", (True, "")),
+        (200, "", "/garden", (True, "")),
+        (401, "", "/garden", (True, "")),
+        (451, "User-agent: *\nDisallow: /", "/garden", (True, "")),
+        (500, "", "/garden", (False, "robots_unreachable")),
+        (302, "", "/garden", (False, "robots_unreachable")),
+    ],
+)
+def test_robots(status, rules, page, expected):
+    assert crawl.Robots(lambda u, timeout: Answer(status, rules)).decide("https://guild.example" + page) == expected
+
+
+def test_robots_are_asked_once_a_host():
+    asked = []
+    r = crawl.Robots(lambda u, timeout: asked.append(u) or Answer(404))
+    for page in ("https://guild.example/1", "https://guild.example/2", "http://guild.example/1"):
+        assert r.decide(page) == (True, "")
+    assert asked == ["https://guild.example/robots.txt", "http://guild.example/robots.txt"]
+
+    def broken(u, timeout):
         raise OSError
 
-    assert crawl.Robots(fails).decide("https://a.id/x") == (False, "robots_unreachable")
-    assert [crawl.wait_of(h) for h in ({"Retry-After": "7"}, {}, {"Retry-After": "999"}, {"Retry-After": "Wed"})] == [7, 5, 30, 5]
+    assert crawl.Robots(broken).decide("https://guild.example/x") == (False, "robots_unreachable")
+
+
+def test_seconds_to_wait():
+    waits = {"12": 12, " 3 ": 3, "0": 0, "": 5, "31": 30, "99999999999999999999": 30, "-4": 5, "2.5": 5, "Mon, 31 Mar": 5, "٣": 5}
+    assert {h: crawl.seconds_asked_for({"Retry-After": h}) for h in waits} == waits
+    assert crawl.seconds_asked_for({}) == 5
 
 
 def test_fetch_and_cache(spark, tmp_path):
-    urls = spark.createDataFrame([(u,) for u in ("https://a.id/1", "https://a.id/private/x", "https://a.id/gone", "https://a.id/slow", "https://b.id/1")], "url string")
-    rows = {r.url: r for r in crawl.fetch_all(urls, site, delay=0, workers=2).collect()}
-    assert (rows["https://a.id/1"].http_status, bytes(rows["https://a.id/1"].body)) == (200, b"<p>x</p>")
-    assert rows["https://a.id/private/x"].fetch_error == "robots_disallowed" and rows["https://b.id/1"].fetch_error == "robots_unreachable"
-    assert rows["https://a.id/slow"].fetch_error == "TimeoutError" and rows["https://a.id/gone"].body is None
+    urls = spark.createDataFrame([(u,) for u in ("https://guild.example/1", "https://guild.example/cellar/key", "https://guild.example/old", "https://guild.example/stuck", "https://paper.example/1")], "url string")
+    rows = {r.url.split("//")[1]: r for r in crawl.fetch_all(urls, site, delay=0, workers=2).collect()}
+    assert (rows["guild.example/1"].http_status, bytes(rows["guild.example/1"].body)) == (200, b"<p>x</p>")
+    assert rows["guild.example/cellar/key"].fetch_error == "robots_disallowed" and rows["paper.example/1"].fetch_error == "robots_unreachable"
+    assert rows["guild.example/stuck"].fetch_error == "TimeoutError" and (rows["guild.example/old"].http_status, rows["guild.example/old"].body) == (410, None)
 
 
 def test_hosts_stay_together(spark):
@@ -171,17 +196,18 @@ def test_hosts_stay_together(spark):
 
 
 def attempts(spark):
-    at = "2026-10-09T07:{}:00+00:00".format
-    rows = [("k1", 200, "", at(10), b"good-old"), ("k1", 403, "", at(30), None), ("k2", 200, "", at(10), b"v1"), ("k2", 200, "", at(30), b"v2"), ("k3", None, "ReadTimeout", at(10), None), ("k3", None, "ReadTimeout", at(30), None)]
+    """a: good, then bad. b: bad, good, good. c: bad twice."""
+    day = "2025-03-{}T00:00:00+00:00".format
+    rows = [("a", 200, "", day("01"), b"a1"), ("a", 500, "", day("05"), None), ("b", 200, "cut off", day("01"), b"b0"), ("b", 200, "", day("02"), b"b1"), ("b", 200, None, day("03"), b"b2"), ("c", None, "TimeoutError", day("01"), None), ("c", 404, "", day("02"), None)]
     df = spark.createDataFrame(rows, "key string, http_status int, fetch_error string, fetched_at string, body binary")
     return df.select("key", F.col("key").alias("url"), F.col("key").alias("final_url"), "http_status", "fetch_error", F.lit("").alias("content_type"), F.lit("").alias("encoding"), "fetched_at", "body")
 
 
 def test_newest_good_attempt_wins(spark, tmp_path):
-    check = lambda df: {r.key: (r.body and bytes(r.body), r.fetched_at[14:16]) for r in df.collect()} == {"k1": (b"good-old", "10"), "k2": (b"v2", "30"), "k3": (None, "30")}
+    check = lambda df: {r.key: (r.body and bytes(r.body), r.fetched_at[8:10]) for r in df.collect()} == {"a": (b"a1", "01"), "b": (b"b2", "03"), "c": (None, "02")}
     assert check(crawl.merged(attempts(spark)))
-    wanted = spark.createDataFrame([("k1",), ("k3",), ("k4",)], "key string")
-    assert {r.key for r in reshape.unfetched(wanted, crawl.merged(attempts(spark)), "key", crawl.is_good()).collect()} == {"k3", "k4"}
+    wanted = spark.createDataFrame([("a",), ("c",), ("d",)], "key string")
+    assert {r.key for r in reshape.unfetched(wanted, crawl.merged(attempts(spark)), "key", crawl.is_good()).collect()} == {"c", "d"}
     attempts(spark).repartition(3).write.parquet(f"{tmp_path}/in")
     query = crawl_cache.keep_merged(spark, f"{tmp_path}/in", f"{tmp_path}/cache", f"{tmp_path}/ck", files_a_batch=1)
     query.awaitTermination(120)
@@ -192,21 +218,80 @@ def test_newest_good_attempt_wins(spark, tmp_path):
 
 def test_report(spark):
     t = tables(spark)
-    hits = spark.createDataFrame([("gpt-01", 0, "Jago", 3, "s", "keep", "")], schemas.SCHEMAS["ambiguous_hits"])
-    spot = spark.createDataFrame([("gpt-01", "agree", None)], schemas.SCHEMAS["sentiment_spotcheck"])
+    hits = spark.createDataFrame([("nor-01", 0, "Birch", 3, "s", "keep", ""), ("nor-02", 0, "Birch", 4, "s", None, "")], schemas.SCHEMAS["ambiguous_hits"])
+    spot = spark.createDataFrame([("nor-01", "agree", None)], schemas.SCHEMAS["sentiment_spotcheck"])
     text = quality.build_report(t | {"ambiguous_hits": hits, "sentiment_spotcheck": spot}, CFG, usual=2)
-    for part in ("# Data quality report", "6 of 6 answers list exactly 2", "4 of 5 pages were readable (80.0%)", "https://a.id/2", "HTTP 403", "| Jago | keep | 1 |", "| gpt-01 | agree |  |"):
+    for part in ("# Data quality report", "3 of 8 answers list exactly 2", "`nor-01` has 3", "4 of 6 pages were readable (66.7%)", "https://paper.example/x", "HTTP 404", "| Birch | keep | 1 |", "| nor-01 | agree |  |"):
         assert part in text, (part, text)
 
 
 def test_facts(spark):
     t = tables(spark)
-    o = {r.what: r for r in facts.overlap(t["citations"], "ChatGPT", "Gemini").collect()}
-    assert (o["sites"].both, o["sites"].jaccard, o["pages"].both, o["pages"].total) == (3, 1.0, 3, 5)
+    o = {r.what: r for r in facts.overlap(t["citations"], "North", "South").collect()}
+    assert (o["sites"].both, o["sites"].jaccard, o["pages"].both, o["pages"].second_only, o["pages"].total) == (4, 1.0, 5, 1, 6)
     counts = facts.pillar_counts(t["answers"], t["mentions"], spark.createDataFrame([(3,)], "prompt_no int"))
-    assert {(r.pillar, r.brand): (r.n, r.named) for r in counts.collect()} == {("Fees", "BCA"): (2, 2), ("Fees", "Bank Jago"): (2, 2), ("Service", "BCA"): (2, 1), ("Service", "Bank Jago"): (2, 1)}
-    assert {r.pillar: r.leaders for r in facts.pillar_leaders(counts).collect()} == {"Fees": "BCA+Bank Jago", "Service": "BCA+Bank Jago"}
-    assert facts.modal_citations(t["citations"]).first()[0] == 2
-    dead = facts.dead_links(t["citations"], t["pages"].withColumn("http_status", F.when(F.col("http_status") == 403, 404).otherwise(200)), t["citations"].where("rank = 1"), "ChatGPT").first()
-    assert tuple(dead) == (1, 3, 0, 3)
-    assert facts.exclusive_brands(t["answers"], t["mentions"]).count() == 0
+    assert {(r.pillar, r.brand): (r.n, r.named) for r in counts.collect()} == {
+        ("Price", "Alder Tea"): (2, 2), ("Price", "Birch Tea"): (2, 1), ("Price", "Cedar Tea"): (2, 1), ("Taste", "Birch Tea"): (2, 1), ("Taste", "Cedar Tea"): (2, 1), ("Care", "Alder Tea"): (2, 1),
+    }
+    assert {r.pillar: r.leaders for r in facts.pillar_leaders(counts).collect()} == {"Price": "Alder Tea", "Taste": "Birch Tea+Cedar Tea", "Care": "Alder Tea"}
+    assert facts.modal_citations(t["citations"]).first()[0] == 1
+    assert tuple(facts.dead_links(t["citations"], t["pages"], t["citations"].where("rank = 1"), "North").first()) == (1, 4, 1, 4)
+    assert {(r.brand, r.engine) for r in facts.exclusive_brands(t["answers"], t["mentions"]).collect()} == {("Birch Tea", "North"), ("Cedar Tea", "South")}
+
+
+def test_the_whole_job(spark, tmp_path):
+    """From a workbook and a crawl to all tables and the report, with a review on the way."""
+    from answerscope.functions.entities import Brand, ReviewNeeded
+    from answerscope.plans.job import run_all
+
+    cite = lambda *u: "\n\n## Links cited\n" + "\n".join(f"- {x}" for x in u)
+    rows = [
+        ("1", "Price", "List", "Which tea?", "Alder is mild. Birch is not." + cite("https://guild.example/a", "https://paper.example/x"), "Cedar Tea!" + cite("https://www.guild.example/a/")),
+        ("2", "Taste", "Why", "Why tea?", "Nobody knows." + cite("https://paper.example/x"), "Try Alder.\n\n- Birch, too" + cite("https://forum.example/q")),
+    ]
+    (tmp_path / "w.xlsx").write_bytes(files.sheet_bytes(["#", "Pillar", "Intent", "Prompt", "North", "South"], rows))
+    sheet = files.read_sheet(spark, str(tmp_path / "w.xlsx"))
+    brands = [Brand("Alder Tea", None, "t", ("Alder", "Alder Tea")), Brand("Birch Tea", None, "t", ("Birch",), ambiguous_aliases=("Birch",)), Brand("Cedar Tea", None, "t", ("Cedar Tea",))]
+    at = "2025-03-30T09:00:00+00:00"
+    pages = [("https://guild.example/a", 200, "", "html", "utf-8", at, ARTICLE.replace("leaf", "Alder").encode(), False), ("https://paper.example/x", 404, "", "html", "", at, None, False), ("https://forum.example/q", 200, "", "html", "", at, b"<p>" + b"leaf Cedar Tea " * 60, True)]
+    made = spark.createDataFrame(pages, "url string, http_status int, fetch_error string, content_kind string, encoding string, fetched_at string, body binary, rendered boolean").withColumn("final_url", F.col("url"))
+    labels = {
+        "domains": tables(spark)["domains"],
+        "sentiment": spark.createDataFrame([("nor-01", "Alder Tea", "positive", 1)], "answer_id string, brand string, label string, score int"),
+        "ambiguous_hits": spark.createDataFrame([("nor-01", 1, "Birch", 0, "Birch is not.", "reject", "")], schemas.SCHEMAS["ambiguous_hits"]),
+        "sentiment_spotcheck": spark.createDataFrame([("nor-01", "agree", None)], schemas.SCHEMAS["sentiment_spotcheck"]),
+    }
+    cfg = Config(run_date="2025-03-31", engines=CFG.engines, expected_counts={"answers": 4, "citations": 5, "unique_urls": 3, "domains": 3})
+    with pytest.raises(ReviewNeeded) as asked:
+        run_all(sheet, None, made, labels, brands, cfg)
+    queue = asked.value.rows
+    assert [(r.answer_id, r.sent_idx, r.alias, r.decision) for r in queue.orderBy("answer_id").collect()] == [("nor-01", 1, "Birch", "reject"), ("sou-02", 1, "Birch", "")]
+    labels["ambiguous_hits"] = queue.withColumn("decision", F.when(F.col("decision") == "", "keep").otherwise(F.col("decision")))
+    out = run_all(sheet, None, made, labels, brands, cfg, usual=1)
+    assert {(r.answer_id, r.brand) for r in out["mentions"].collect()} == {("nor-01", "Alder Tea"), ("sou-01", "Cedar Tea"), ("sou-02", "Alder Tea"), ("sou-02", "Birch Tea")}
+    assert {(r.url.split("/")[2], r.is_readable, r.body_source) for r in out["pages"].collect()} == {("guild.example", True, "raw"), ("paper.example", False, ""), ("forum.example", True, "rendered")}
+    assert {r.brand: (r.ai_mentions, r.source_count) for r in out["source_sov"].collect()} == {"Alder Tea": (2, 70), "Birch Tea": (1, 0), "Cedar Tea": (1, 60)}
+    assert out["domains"].where("domain = 'guild.example'").first().citations == 2 and out["vis"].count() == 3
+    text = "\n".join(r.line for r in out["report"].orderBy("section", "place").collect())
+    assert "| Citations | 5 | 5 |" in text and "- `nor-01` has 2." in text and "| https://paper.example/x | HTTP 404 |" in text and "| Birch | keep | 1 |" in text
+    quality.write_report(out["report"], f"{tmp_path}/report")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*"))).strip() == text.strip()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from answerscope.plans import storage
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(cluster)
+
+
+def test_lookup(spark):
+    df = tables(spark)["domains"]
+    assert facts.lookup(df, {"domain": "forum.example"}, "authority_tier").first()[0] == "Low"
+    assert facts.lookup(df, {"domain": "nowhere"}, "authority_tier").first()[0] is None
+    with pytest.raises(Exception, match="not one row"):
+        facts.lookup(df, {}, "domain").collect()
