@@ -11,9 +11,13 @@ Candidates join to complementary parts whose interval lies within SCOPE code poi
 The interval join runs inside the row: a kind's spans never overlap and are sorted, so a binary search finds the first
 span that ends late enough, and the join holds if that span starts early enough. No shuffle, O(k log k) for k spans.
 
+No weak part is reported without an identifier, so weak secrets and endpoints are only looked for in texts that have
+one, and a kind's pattern only runs where a word that every match begins with occurs.
+
 Positions are code points, end exclusive. A null text is an empty one: no spans, base_sha256 of the empty string,
-spans "". Repeated rows each give their row. Other columns are not read, whatever their names. Every step is linear in
-the text or in its spans, so very long texts only take longer.
+spans "". Repeated rows each give their row; an empty table gives no rows; spans of equal start go by the order of
+KINDS. Other columns are not read, whatever their names. Time grows with the text and its spans (times log k in the
+join), also for the masked text, so very long texts only take longer.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, grouped, running
 from .common import table
 
 # FIXED PATTERNS. A run of [0-9a-f] or AKIA[A-Z0-9] matches from its first possible start to its end, so the minimum
@@ -37,33 +42,22 @@ KINDS = (*BASE, "weak_secret", "weak_access", "endpoint")
 SCOPE = 200
 #: Least length of an assigned value.
 LEAST_VALUE = 6
-#: Prefix sums go block by block, for an array appended to k times is copied k times.
-BLOCK = 256
+#: What a match of a kind has in it, in lower case for assign.
+WORDS = {"assign": ("password", "passwd", "secret", "token", "api_key", "apikey"), "access": ("AKIA",), "weak_access": ("ASIA", "AROA", "AIDA", "AGPA", "ANPA"), "endpoint": ("http",)}
+#: Code points of the blocks that a text is cut into to be masked.
+BLOCK = 1024
+
 
 def no_spans() -> Column:
     return F.expr("cast(array() as array<struct<start: int, `end`: int>>)")
 
 
-def running(lengths: Column) -> Column:
-    """Sums of the elements up to and with each one."""
-    add = lambda acc, x: F.array_append(acc, F.coalesce(F.element_at(acc, -1), F.lit(0)) + x)
-    empty = F.expr("cast(array() as array<int>)")
-    in_block = lambda a: F.aggregate(a, F.array(F.lit(0)), add, lambda acc: F.slice(acc, 2, F.size(acc)))
-    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(BLOCK))).otherwise(empty)
-    blocks = F.transform(starts, lambda s: in_block(F.slice(lengths, s + 1, F.lit(BLOCK))))
-    bases = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.element_at(x, -1)))
-    joined = lambda b, base: F.flatten(F.zip_with(b, F.slice(base, 1, F.size(b)), lambda x, at: F.transform(x, lambda y: y + at)))
-    # let-bindings, so that each array is computed once
-    return bind(blocks, lambda b: bind(bases(b), lambda base: joined(b, base)))
-
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return _any([text.contains(w) for w in words])
 
-def bind(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def found(text: Column, pattern: str) -> Column:
-    """Spans of the leftmost non-overlapping matches, from the lengths of the matches and of what lies between them."""
+def found(text: Column, pattern: str, possible: Column | None = None) -> Column:
+    """Spans of the leftmost non-overlapping matches, from the lengths of the matches and of what lies between them; possible is true wherever there may be any."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
 
@@ -71,14 +65,15 @@ def found(text: Column, pattern: str) -> Column:
         ends = running(F.zip_with(F.slice(gap, 1, F.size(size)), size, lambda g, s: g + s))
         return F.zip_with(ends, size, lambda e, s: F.struct((e - s).alias("start"), e.alias("end")))
 
-    out = bind(gaps, lambda g: bind(sizes, lambda s: spans(g, s)))
-    return F.when(text.rlike(pattern), out).otherwise(no_spans())
+    out = bound(gaps, lambda g: bound(sizes, lambda s: spans(g, s)))
+    return F.when(text.rlike(pattern) if possible is None else possible, out).otherwise(no_spans())
 
 
 def assigned(text: Column) -> Column:
+    possible = has_any(F.lower(text), WORDS["assign"])
     values = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.length)
-    kept = F.filter(F.zip_with(found(text, ASSIGN), values, lambda s, n: F.struct(s.alias("span"), n.alias("n"))), lambda x: x["n"] >= LEAST_VALUE)
-    return F.when(text.rlike(ASSIGN), F.transform(kept, lambda x: x["span"])).otherwise(no_spans())
+    kept = F.filter(F.zip_with(found(text, ASSIGN, possible), values, lambda s, n: F.struct(s.alias("span"), n.alias("n"))), lambda x: x["n"] >= LEAST_VALUE)
+    return F.when(possible, F.transform(kept, lambda x: x["span"])).otherwise(no_spans())
 
 
 def near(parts: Column, span: Column) -> Column:
@@ -101,8 +96,13 @@ def near(parts: Column, span: Column) -> Column:
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with a column out: struct of one sorted array of spans for each of KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = [assigned(text), found(text, ACCESS), found(text, HEX), found(text, WEAK_SECRET), found(text, WEAK_ACCESS), found(text, ENDPOINT)]
-    some = F.struct(*[c.alias(k) for c, k in zip(base, KINDS, strict=True)])
+    text_ = lambda kind, pattern, also=None: found(text, pattern, has_any(text, WORDS[kind]) if also is None else also & has_any(text, WORDS[kind]))
+    first = F.struct(assigned(text).alias("assign"), text_("access", ACCESS).alias("access"), found(text, HEX).alias("hex"), text_("weak_access", WEAK_ACCESS).alias("weak_access"))
+
+    def both(s: Column) -> Column:
+        identified = F.size(s["access"]) + F.size(s["weak_access"]) > 0
+        secrets = found(text, WEAK_SECRET, identified)
+        return F.struct(*[s[k].alias(k) for k in BASE], secrets.alias("weak_secret"), s["weak_access"].alias("weak_access"), text_("endpoint", ENDPOINT, identified).alias("endpoint"))
 
     def linked(s: Column) -> Column:
         has = lambda kinds, x: _any([near(s[k], x) for k in kinds])
@@ -114,7 +114,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
             F.filter(s["endpoint"], lambda x: has(ids, x) & has(keys, x)).alias("endpoint"),
         )
 
-    return docs.withColumn(out, bind(some, linked))
+    return docs.withColumn(out, bound(bound(first, both), linked))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -135,21 +135,30 @@ def written(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every stretch covered by spans (of KINDS) replaced by the mask."""
-    fresh = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
-
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.array_append(acc, fresh(x)))
-
-    merged = F.aggregate(tagged(spans, KINDS), no_spans(), join)
-
-    def rebuilt(m: Column) -> Column:
-        gap = F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.substr(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get(m, i)["start"], F.length(text)) - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))))
-        return F.array_join(gap, mask)
-
-    return F.when(F.size(tagged(spans, KINDS)) > 0, bind(merged, rebuilt)).otherwise(text)
+    """The text with every stretch covered by spans (of KINDS) replaced by the mask; stretches that touch are one.
+
+    The text is cut into blocks once, so that what lies between two stretches is read from its own blocks only.
+    """
+    end = lambda x: x["end"]
+
+    def merged(a: Column) -> Column:
+        apart = lambda reach: grouped(a, lambda x, i: x["start"] > F.get(reach, i - 1))
+        return F.transform(bound(running(F.transform(a, end), F.greatest), apart), lambda g: F.struct(g[0]["start"].alias("start"), F.array_max(F.transform(g, end)).alias("end")))
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        several = F.concat(F.substr(block(first), a % BLOCK + 1), inner, F.substr(block(last), F.lit(1), b % BLOCK))
+        return F.when(first == last, F.substr(block(first), a % BLOCK + 1, b - a)).otherwise(several)
+
+    def rebuilt(m: Column, blocks: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: between(blocks, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), F.coalesce(F.get(m, i)["start"], F.length(text))))
+        return F.array_join(gaps, mask)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    masked = lambda a: F.when(F.size(a) == 0, text).otherwise(bound(merged(a), lambda m: bound(blocks, lambda b: rebuilt(m, b))))
+    return F.when(text.isNotNull(), bound(tagged(spans, KINDS), masked))
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
