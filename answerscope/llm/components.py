@@ -18,13 +18,15 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"] or 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges (a, b), both of one ordered type -> (node, root) for every node of an edge; root is the least node."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b), both of one ordered type -> (node, root) for every node of an edge; root is the least node.
+
+    Rounds go on until one changes nothing. Each moves edges to lesser nodes, so there is a last one; their number grows
+    with the logarithm of the longest path, squared at most.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = _mark(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -35,7 +37,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     # at the fixed point every edge leads from a node to its component's least one
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

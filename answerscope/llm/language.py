@@ -11,6 +11,8 @@ hashes, fewer if that would be more than TOTAL in all (but two of each language)
 no more. Copies, null texts and texts without letters take no place, so no language with a usable text is left out.
 Every row is predicted, from its whole text alone.
 
+Ties: of codewords with equal loss, the language that comes first by name; such a text is ambiguous.
+
 Nulls: `und` with score 0 for a null text or one without any letter, and for every text if nothing is labelled. Repeated
 rows get equal results; an empty table gives no rows; other columns are not read. Long texts are counted in blocks.
 """

@@ -55,6 +55,22 @@ SENTENCES = {
     "gpl.warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "mpl.subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "unlicense.domain": "This is free and unencumbered software released into the public domain.",
+    "lgpl.redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21.version": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3.redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl.warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "agpl3.redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl2.available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "zlib.as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib.liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib.permission": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl1.grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "cc4.by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc4.by_sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc4.by_nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc4.by_nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc4.by_nc_sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc4.by_nc_nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
 # Ordered rules over texts' sentences.
@@ -68,10 +84,23 @@ RULES = {
     "GPL-3.0-or-later": [("gpl3.redistribute", "gpl.warranty"), ("gpl.redistribute", "gpl3.version", "gpl.warranty")],
     "MPL-2.0": [("mpl.subject",)],
     "Unlicense": [("unlicense.domain",)],
+    "LGPL-2.1-or-later": [("lgpl.redistribute", "lgpl21.version", "lgpl.warranty")],
+    "LGPL-3.0-or-later": [("lgpl3.redistribute", "lgpl.warranty"), ("lgpl3.redistribute", "gpl.warranty"), ("lgpl.redistribute", "gpl3.version", "lgpl.warranty")],
+    "AGPL-3.0-or-later": [("agpl3.redistribute", "gpl.warranty")],
+    "EPL-2.0": [("epl2.available",)],
+    "Zlib": [("zlib.as_is", "zlib.liability", "zlib.permission")],
+    "BSL-1.0": [("bsl1.grant",)],
+    "CC-BY-4.0": [("cc4.by",)],
+    "CC-BY-SA-4.0": [("cc4.by_sa",)],
+    "CC-BY-NC-4.0": [("cc4.by_nc",)],
+    "CC-BY-ND-4.0": [("cc4.by_nd",)],
+    "CC-BY-NC-SA-4.0": [("cc4.by_nc_sa",)],
+    "CC-BY-NC-ND-4.0": [("cc4.by_nc_nd",)],
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"([.!?;:])[ \t\r\n\f]+"
+BLANK = r"\r?\n[ \t]*\r?\n\s*"
 #: Single words, of which every known sentence has one: white space between words may vary in a text.
 ANCHORS = r"(?i)licen[cs]e|permission|redistribut|software|warrant|released|distributed|available"
 NOTICE = "notice."
@@ -97,11 +126,10 @@ def dictionary() -> dict[str, str]:
 
 def _sentences(text: Column, wrapped: bool) -> Column:
     """Normalised sentences of one reading."""
-    broken = F.regexp_replace(text, ENDS, "$1\n")
     if wrapped:
-        # a line feed after a sentence's end or at a blank line stays one; others are folded
-        broken = F.regexp_replace(F.regexp_replace(text, r"\r?\n[ \t]*\r?\n\s*", "\u0001"), r"[\r\n]+", " ")
-        broken = F.regexp_replace(F.translate(broken, "\u0001", "\n"), ENDS, "$1\n")
+        # a blank line ends a sentence; other line breaks are folded
+        text = F.array_join(F.transform(F.split(text, BLANK), lambda part: F.regexp_replace(part, r"[\r\n]+", " ")), "\n")
+    broken = F.regexp_replace(text, ENDS, "$1\n")
     low = F.translate(broken, UPPER, LOWER)
     return F.transform(F.split(low, r"[\r\n]+"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+]+", " "), r"^[ .]+|[ .]+$", ""))
 
@@ -151,7 +179,7 @@ def _sql() -> str:
     return f"""
 with known(s, id) as (values {known}), rules(licence, ids) as (values {rules}),
 folds as (select doc_id, 'line' as kind, regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r\\n\\f]+', E'\\\\1\\n', 'g') t from documents
-  union all select doc_id, 'wrapped', regexp_replace(replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r?\\n[ \\t]*\\r?\\n\\s*', chr(1), 'g'), '[\\r\\n]+', ' ', 'g'), chr(1), chr(10)), '([.!?;:])[ \\t\\r\\n\\f]+', E'\\\\1\\n', 'g') from documents),
+  union all select doc_id, 'wrapped', regexp_replace(array_to_string(list_transform(string_split_regex(coalesce(text, ''), '\\r?\\n[ \\t]*\\r?\\n\\s*'), lambda p: regexp_replace(p, '[\\r\\n]+', ' ', 'g')), chr(10)), '([.!?;:])[ \\t\\r\\n\\f]+', E'\\\\1\\n', 'g') from documents),
 parts as (select doc_id, kind, unnest(a) x, unnest(range(len(a))) i from (select doc_id, kind, string_split_regex(translate(t, '{UPPER}', '{LOWER}'), '[\\r\\n]+') a from folds)),
 hits as (select doc_id, kind, i, id from (select doc_id, kind, i, {norm.format("x")} s from parts) join known using (s)),
 seqs as (select doc_id, coalesce(string_agg(id, '|' order by i) filter (kind = 'line'), '') l, coalesce(string_agg(id, '|' order by i) filter (kind = 'wrapped'), '') w from hits group by doc_id),

@@ -12,6 +12,9 @@ sequence and offset from the plan.
 The pieces (with their ids) are stored once in the shared folder, with their rank among the pieces of their length in
 their task; a prefix sum over the tasks makes it a rank overall. No group is gathered anywhere.
 
+Ties: pieces of equal length go by their task's number and their place in it; of windows with equal room, the group that
+came to have it last is filled first, from its first window on.
+
 Nulls: a null or empty text is one end id. Null and repeated doc_ids, and equal texts, are separate documents. An empty
 table gives no rows. Other columns are not read. Very long texts give many full windows.
 """

@@ -179,8 +179,63 @@ def components(docs):
 
 
 def test_op8(results):
-    small = [(i, t if len(t) < 10_000 or i in (13, 14, 15, 16) else t) for i, t in DOCS]
-    assert rows(results(8), "doc_id", "fingerprint", "component_id") == components(small)
+    assert rows(results(8), "doc_id", "fingerprint", "component_id") == components(DOCS)
+
+
+def test_op1_landmarks_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 3)
+    hann = np.hanning(media.FRAME).astype(np.float32)
+    for size in (64, media.FRAME, media.FRAME + 64, 64 * 40):
+        samples = rng.integers(32, 123, size, dtype=np.uint8).tobytes()
+        n = max(1, -(-(size - media.FRAME) // media.HOP) + 1)
+        x = np.frombuffer(samples.ljust((n - 1) * media.HOP + media.FRAME, b"\x80"), np.uint8).astype(np.float32) - 128
+        top = {}
+        for k in range(n):
+            power = np.abs(np.fft.rfft(x[k * media.HOP : k * media.HOP + media.FRAME] * hann)).astype(np.float32)
+            for b, (lo, hi) in enumerate(zip(media.BANDS, media.BANDS[1:])):
+                strongest = max(range(lo, hi), key=lambda i: (power[i], -i))
+                if power[strongest] >= media.STANDS_OUT * power[lo:hi].mean():
+                    top[k, b] = (power[strongest], strongest)
+        level = lambda k, b: top.get((k, b), (0, 0))[0]
+        peaks = [(k, top[k, b][1]) for k, b in sorted(top) if level(k, b) >= level(k - 1, b) and level(k, b) > level(k + 1, b)]
+        pairs = sorted((t, f << 16 | g << 6 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH)
+        times, codes = media.landmarks(samples)
+        assert list(zip(times.tolist(), codes.tolist())) == pairs
+
+
+def test_op5_features_and_decoding_against_brute_force():
+    from math import exp, log, sqrt
+
+    from answerscope.llm import language
+
+    for text in ("a", "The river, THE River.", "Über größe 中文 x", "z" * 50):
+        raw = b" " + b" ".join(bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()).split()) + b" "
+        counts = [0.0] * language.SIZE
+        for k, n in enumerate(language.GRAMS):
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h ^ raw[i + j]) * language.FACTORS[j] % 2**32
+                    h ^= h >> 15
+                counts[k * language.BINS + h % language.BINS] += 1
+        norm = sqrt(sum(counts))
+        assert language.features(text) == pytest.approx([sqrt(c) / norm for c in counts], abs=1e-6)
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 5, 9):
+        code = language.codewords(n)
+        assert len({tuple(r) for r in code.tolist()}) == n and set(code.ravel().tolist()) <= {-1, 1}
+        bits = code.shape[1]
+        trust = rng.random((n, bits)).astype(np.float32)
+        model = language.Model([f"l{k}" for k in range(n)], code, rng.normal(size=(language.SIZE + 1, bits)).astype(np.float32), trust)
+        x = np.abs(rng.normal(size=(4, language.SIZE))).astype(np.float32) / 60
+        langs, scores, close = model.predict(x)
+        for row, lang, score, near in zip(x, langs, scores, close):
+            f = [float(sum(row * model.weights[:-1, b])) + float(model.weights[-1, b]) for b in range(bits)]
+            z = [-bits * sum(float(trust[k, b]) * log(1 + exp(-f[b] * float(code[k, b]))) for b in range(bits)) for k in range(n)]
+            share = [exp(v - max(z)) for v in z]
+            share = sorted(((v / sum(share), -k) for k, v in enumerate(share)), reverse=True)
+            assert lang == f"l{-share[0][1]}" and score == pytest.approx(share[0][0], rel=1e-3) and (near == (share[0][0] - share[1][0] < language.MARGIN) or abs(share[0][0] - share[1][0] - language.MARGIN) < 1e-3)
 
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -446,7 +501,13 @@ def test_every_licence_rule_finds_its_notice(spark):
         "BSD-2-Clause": bsd % "", "BSD-3-Clause": bsd % "3. {bsd.endorse}\n", "Apache-2.0": "   {apache.under}\n   {apache.comply}\n   You may obtain a copy of the License at\n",
         "MPL-2.0": "{mpl.subject} 2.0. If a copy of the MPL was not distributed with this file,", "Unlicense": "{unlicense.domain}\n\nAnyone is free to copy",
     }
-    texts = []
+    lesser = GPL.replace("This program", "This library").replace("GNU General Public License as", "GNU Lesser General Public License as")
+    notices |= {
+        "EPL-2.0": "/* {epl2.available}\n\nSPDX */", "Zlib": "zlib\n\n  {zlib.as_is}  {zlib.liability}\n\n  {zlib.permission}\n\n  1. The origin", "BSL-1.0": "Boost\n\n{bsl1.grant}\n\nThe copyright notices",
+        **{"CC-" + k.upper().replace("_", "-") + "-4.0": "Photo.\n{cc4." + k + "} See it." for k in ("by", "by_sa", "by_nc", "by_nd", "by_nc_sa", "by_nc_nd")},
+    }
+    texts = [("LGPL-2.1-or-later", lesser.format(";", ";", "2.1")), ("LGPL-3.0-or-later", lesser.format(";", ";", 3)), ("LGPL-3.0-or-later", lesser.format(":", ",", 3))]
+    texts += [("AGPL-3.0-or-later", GPL.replace("GNU General Public License as", "GNU Affero General Public License as").format(":", ",", 3))]
     for name, t in notices.items():
         for k, v in s.items():
             t = t.replace("{" + k + "}", v.replace(", ", ",\n"))
@@ -577,3 +638,14 @@ def test_masked_texts_of_many_spans(spark):
 
     seconds(100)
     assert seconds(16_000) < 6 * seconds(4_000) + 2
+
+
+def test_components_of_a_long_path(spark):
+    from answerscope.llm.components import components
+
+    rng = np.random.default_rng(2)
+    names = rng.permutation(300)
+    edges = [(int(names[k]), int(names[k + 1])) for k in range(299) if k != 150] + [(400, 400), (500, 501), (501, 500)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    left, right = names[:151].tolist(), names[151:].tolist()
+    assert got == {n: min(left) for n in left} | {n: min(right) for n in right} | {500: 500, 501: 500}
