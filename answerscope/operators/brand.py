@@ -1,8 +1,8 @@
 """Brand tables: mention rate, share of voice, position-weighted prominence, sentiment; and answers that name nobody.
 
-Every cut comes from one table with a row for each (answer, brand) that occurs, so mentions and sentences are shuffled
-once, by answer, and all cuts are grouping sets over that table. The grid of every brand for every existing group is
-filled with zeros from small dimension tables.
+Every cut comes from one table with a row for each (answer, brand) that occurs, which is stored, so mentions and
+sentences are read and shuffled once, by answer, and all cuts are grouping sets over that table. The grid of every brand
+for every existing group is filled with zeros.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 LABELS = {"positive": "n_pos", "neutral": "n_neu", "negative": "n_neg", "mixed": "n_mixed"}
 
 
@@ -52,8 +54,13 @@ def brand_pawc(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
     return found.join(sentence_weights(sentences), ["answer_id", "sent_idx"]).groupBy("answer_id", "brand").agg(F.sum("w").alias("pawc"))
 
 
-def brand_table(answers: DataFrame, sentences: DataFrame, mentions: DataFrame, sentiment: DataFrame, cut: str | None = None) -> DataFrame:
-    """One row for each engine (and All), value of the cut, and brand that occurs anywhere."""
+def stored_facts(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
+    """answer_brands, computed once."""
+    return stored(answer_brands(sentences, mentions), "answer_brands")
+
+
+def brand_table(answers: DataFrame, facts: DataFrame, sentiment: DataFrame, cut: str | None = None) -> DataFrame:
+    """One row for each engine (and All), value of the cut, and brand that any answer of facts (stored_facts) names."""
     keys = ["engine", *([cut] if cut else [])]
     every = [F.coalesce(F.col("engine"), F.lit("All")).alias("engine"), *([F.col(cut)] if cut else [])]
     ids = answers.select("answer_id", *keys).where(F.col("engine").isNotNull())
@@ -62,7 +69,9 @@ def brand_table(answers: DataFrame, sentences: DataFrame, mentions: DataFrame, s
     sets = lambda *more: [[*keys, *more], [*keys[1:], *more]]
     flags = [F.count_if(F.col("label") == label).alias(name) for label, name in LABELS.items()]
 
-    facts = answer_brands(sentences, mentions).join(ids, "answer_id")
+    # every brand that exists in every group that exists: the rows of the result. Which side is sent around is left to Spark
+    brands = facts.select("brand").distinct()
+    facts = facts.join(ids, "answer_id")
     facts = facts.groupingSets([[F.col(c) for c in s] for s in sets("brand")], *[F.col(c) for c in (*keys, "brand")]).agg(
         F.count("*").alias("n_answers_mentioning"), F.sum("ai_mentions").alias("ai_mentions"), F.sum("pawc").alias("pawc_sum"), F.avg("first_mention_pos").alias("first_mention_pos")
     ).select(*every, "brand", "n_answers_mentioning", "ai_mentions", "pawc_sum", "first_mention_pos")
@@ -71,8 +80,6 @@ def brand_table(answers: DataFrame, sentences: DataFrame, mentions: DataFrame, s
         F.avg("score").alias("sentiment_mean"), *flags
     ).select(*every, "brand", "sentiment_mean", *LABELS.values())
     groups = ids.groupingSets([[F.col(c) for c in s] for s in sets()], *[F.col(c) for c in keys]).agg(F.count("*").alias("n")).select(*every, "n")
-    # every brand that exists in every group that exists: the rows of the result. Which side is sent around is left to Spark
-    brands = mentions.select("brand").where(F.col("brand").isNotNull()).distinct()
     grid = groups.crossJoin(brands)
     on = [*keys, "brand"]
     in_cut = Window.partitionBy(*keys)

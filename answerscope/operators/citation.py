@@ -22,8 +22,9 @@ def domain_table(cited: DataFrame, pages: DataFrame, engines: dict[str, str]) ->
     """Labelled domains with totals and each engine's counts; n counts unlabelled ones too.
 
     Distinct pages, prompts and answers are three groupings that each combine before their exchange; several distinct
-    counts in one aggregate would send every citation once for each of them.
+    counts in one aggregate would send every citation once for each of them. What they read is stored once.
     """
+    cited = stored(cited.select("domain", "domain_type", "authority_tier", "engine", "rank", "url", "prompt_no", "answer_id"), "cited")
     keys = ["domain", "domain_type", "authority_tier"]
     labelled_ = cited.where(F.col("domain_type").isNotNull() & F.col("authority_tier").isNotNull() & F.col("domain").isNotNull())
     own = [x for e, c in engines.items() for x in (F.count_if(F.col("engine") == e).alias(f"n_{c}"), F.sum(F.when(F.col("engine") == e, F.col("rank"))).alias(f"r_{c}"))]

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 
 from ..operators import brand, citation, page, score
 from .config import Config
+from .storage import stored
 
 
 def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None) -> dict[str, DataFrame]:
-    """Lazily, but for the pages: their ranks need a stored table. Inputs of many results are worth storing, too."""
+    """Lazily, but for what several results need (answers' brands, labelled citations) and the pages' ranks: these are stored."""
     cfg = cfg or Config()
     t = tables
     answers, mentions, citations = t["answers"], t["mentions"], t["citations"]
-    parts = answers, t["sentences"], mentions, t["sentiment"]
+    parts = answers, brand.stored_facts(t["sentences"], mentions), t["sentiment"]
     out = {"brand_engine": brand.brand_table(*parts), "brand_pillar": brand.brand_table(*parts, cut="pillar"), "brand_intent": brand.brand_table(*parts, cut="intent")}
     out["no_brand_rate"] = brand.no_brand_rate(answers, mentions)
-    cited = citation.labelled(citations, answers, t["domains"])
+    cited = stored(citation.labelled(citations, answers, t["domains"]), "labelled")
     out["domains"] = citation.domain_table(cited, t["pages"], cfg.engines)
     # as in the citation tables, only citations of known answers count
     out["pages_top"] = citation.page_table(cited, cfg.engines)

@@ -26,7 +26,7 @@ def cited(s: SparkSession, d: str) -> DataFrame:
 
 
 def brand_cut(cut: str | None) -> Query:
-    return lambda s, d: brand.brand_table(B.answers(s, d), B.sentences(s, d), B.mentions(s, d), B.sentiment(s, d), cut)
+    return lambda s, d: brand.brand_table(B.answers(s, d), brand.stored_facts(B.sentences(s, d), B.mentions(s, d)), B.sentiment(s, d), cut)
 
 
 def page_facts(s: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,22 @@ from .oracle import BASE, NB, TOKENS
 
 DAY = "strftime(date '2024-01-01' + cast({} as int), '%Y-%m-%d')"
 
+
+def _text_of(html: str) -> str:
+    """Text outside of boilerplate elements, for pages where none of these holds one of its own kind."""
+    for name in "script style noscript template svg nav header footer aside form button iframe select title".split():
+        html = f"regexp_replace({html}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', '', 'g')"
+    inline = "a|b|i|em|strong|span|code|u|small|sup|sub"
+    for pattern, new in ((r"(?is)</[a-z][^>]*>|<![^>]*>", "''"), (rf"(?is)<({inline})(\s[^>]*)?>", "''"), (r"(?is)<[a-z][^>]*>", "chr(10)")):
+        html = f"regexp_replace({html}, '{pattern}', {new}, 'g')"
+    return f"replace({html}, '&nbsp;', ' ')"
+
+
+PLAIN = _text_of("regexp_replace(html, '(?is)<!--.*?-->', '', 'g')")
+
 SHAPES = {
+    "page_extract": f"""select url, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) title,
+  len(list_filter(string_split_regex({PLAIN}, '\\s+'), lambda w: w <> '')) n_words, case when not regexp_matches(html, 'ld.json|<time|<meta[^>]*(date|time)') and not regexp_matches(url, '/[0-9]{{4}}[/-][0-9]{{2}}[/-][0-9]{{2}}') then '' end date_source from pages""",
     "csv_table": """select n_nationkey, case when n_nationkey % 5 <> 0 then n_name || ', "' || n_regionkey || '"' || chr(10) || '.' end label from nation""",
     "json_lines": """select n_nationkey, case when n_nationkey % 3 <> 0 then n_name || '"\\' || chr(10) end label, round(n_nationkey / 8, 6) part from nation""",
     "dictionary": "select * from (values ('Alder', null, 'house', 'Alder|Alder Tea House', true, false, ''), ('sip', 'Alder', 'shop', 'sip of Alder Tea|sip', false, true, 'sip')) v(brand, parent, type, aliases, case_sensitive, ambiguous, ambiguous_aliases)",

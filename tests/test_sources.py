@@ -295,3 +295,12 @@ def test_lookup(spark):
     assert facts.lookup(df, {"domain": "nowhere"}, "authority_tier").first()[0] is None
     with pytest.raises(Exception, match="not one row"):
         facts.lookup(df, {}, "domain").collect()
+
+
+def test_intermediate_tables_are_released(spark):
+    from answerscope.plans import storage
+
+    df = storage.stored(spark.range(3), "three")
+    assert df.count() == 3 and storage.release(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0]).count()
