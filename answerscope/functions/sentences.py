@@ -25,7 +25,8 @@ SITE_LINE = r"(?iU)^\s*[\w-]+(\.[\w-]+)*\.(com|id|org|net|co|io|app)\s*$"
 BUTTON = "Add to Favorites"
 ABBREVIATIONS = ("p.a", "tbk", "dll", "no", "dsb", "dst", "pt", "jl", "dr", "vs", "e.g", "i.e", "rp", "sdr", "bpk", "ibu", "st")
 BREAK = r"""(?U)([.?!]["'”’)\]]*)\s+(?=[A-Z0-9"“(])"""
-CLOSED = r"""[.?!]["'”’)\]]*$"""
+#: An abbreviation as the last word, with the sign that would end a sentence after it.
+SHORTENED = r"(?U)(?:^|\s)(?:" + "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS) + r""")\.*\s*[.?!]["'”’)\]]*$"""
 # Inline markup, in the order in which it goes.
 INLINE = [
     (r"(?i)<br\s*/?>", " "), (IMAGE, ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*\*|__|`", ""),
@@ -119,10 +120,7 @@ def clean_body(body: Column) -> Column:
 def split_paragraph(paragraph: Column) -> Column:
     """Sentences of one line. A piece that ends in an abbreviation goes on in the next. A line feed ends a sentence, too."""
 
-    def go_on(piece: Column) -> Column:
-        word = F.regexp_extract(strip(F.regexp_replace(piece, CLOSED, "")), r"(?U)(\S*)$", 1)
-        return piece.rlike(CLOSED) & F.lower(F.regexp_replace(word, r"\.+$", "")).isin(*ABBREVIATIONS)
-
+    go_on = lambda piece: F.lower(piece).rlike(SHORTENED)
     pieces = F.split(F.regexp_replace(paragraph, BREAK, "$1\n"), "\n")
     of = lambda a: grouped(a, lambda x, i: ~go_on(F.get(a, i - 1)))
     return F.filter(F.transform(bound(pieces, of), lambda part: strip(F.array_join(part, " "))), lambda s: s != "")
