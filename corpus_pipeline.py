@@ -3,7 +3,8 @@
 Each stage works on all that the one before kept, and its result is written as Parquet and read again. All stages but
 the last return the columns of documents; other columns, whatever their names, are left out. Empty tables pass through
 as empty ones. Repeated rows are near-duplicates of each other, so one of them stays. A null doc_id is a document like
-any other, and is the one that stays only where its group has no id.
+any other, and is the one that stays only where its group has no id. Texts are read whole, however long, in batches of
+bounded bytes; of equally good rows of a group (same id, another text) the one with the smallest text hash stays.
 """
 
 from __future__ import annotations
