@@ -73,9 +73,9 @@ def source_sov(mentions: DataFrame, pages: DataFrame, page_brand_counts: DataFra
     return sov.withColumn("sov_gap", F.col("ai_sov_weighted") - F.col("source_sov")).withColumn("sov_gap_raw", F.col("ai_sov") - F.col("source_sov_raw"))
 
 
-def _cut(df: DataFrame, cut: str, value: str, extra: list[str], out: str) -> DataFrame:
-    """Counts of extra for each value of a column and All, with shares of the value's rows. Null values only count in All."""
-    counts = df.groupBy(value, *extra).agg(F.count("*").alias("c"))  # small
+def _cut(df: DataFrame, cut: str, value: str, extra: list[str], out: str, rows: Column | None = None) -> DataFrame:
+    """Counts of extra for each value of a column and All, with shares of the value's rows. Null values only count in All. rows: how many rows a group of df stands for."""
+    counts = df.groupBy(value, *extra).agg((F.count("*") if rows is None else F.sum(rows)).alias("c"))  # small
     both = counts.groupingSets([[F.col(value), *map(F.col, extra)], [*map(F.col, extra)]], F.col(value), *map(F.col, extra)).agg(F.sum("c").alias(out), F.grouping(value).alias("__all"))
     both = both.where((F.col("__all") == 1) | F.col(value).isNotNull()).select(F.lit(cut).alias("cut"), F.when(F.col("__all") == 1, F.lit("All")).otherwise(F.col(value)).alias("value"), *extra, out)
     by = Window.partitionBy("value", *extra[:-1])
@@ -96,7 +96,8 @@ def recency(facts: DataFrame, citations: DataFrame) -> DataFrame:
     cited = citations.select("engine", "url").join(facts.where("readable").select("url", "group", "group_structured", "domain_type"), "url")
     both = cited.unpivot(["engine", "domain_type"], ["group", "group_structured"], "basis", "group")
     both = both.withColumn("basis", F.when(F.col("basis") == "group", "all dates").otherwise("structured dates only"))
-    parts = [_cut(both, cut, cut, ["basis", "group"], "citations") for cut in ("engine", "domain_type")]
+    counted = both.groupBy("engine", "domain_type", "basis", "group").agg(F.count("*").alias("rows"))  # small; both cuts are of it
+    parts = [_cut(counted, cut, cut, ["basis", "group"], "citations", F.col("rows")) for cut in ("engine", "domain_type")]
     return parts[0].unionByName(parts[1]).select("cut", "value", "basis", "group", "citations", "share", "n")
 
 

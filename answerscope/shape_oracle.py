@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .markdown_oracle import SQL as MARKDOWN
 from .oracle import BASE, NB, TOKENS
 
 DAY = "strftime(date '2024-01-01' + cast({} as int), '%Y-%m-%d')"
@@ -20,6 +21,7 @@ def _text_of(html: str) -> str:
 PLAIN = _text_of("regexp_replace(html, '(?is)<!--.*?-->', '', 'g')")
 
 SHAPES = {
+    "markdown_sentences": MARKDOWN,
     "page_extract": f"""select url, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) title,
   len(list_filter(string_split_regex({PLAIN}, '\\s+'), lambda w: w <> '')) n_words, case when not regexp_matches(html, 'ld.json|<time|<meta[^>]*(date|time)') and not regexp_matches(url, '/[0-9]{{4}}[/-][0-9]{{2}}[/-][0-9]{{2}}') then '' end date_source from pages""",
     "csv_table": """select n_nationkey, case when n_nationkey % 5 <> 0 then n_name || ', "' || n_regionkey || '"' || chr(10) || '.' end label from nation""",

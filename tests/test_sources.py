@@ -304,3 +304,33 @@ def test_intermediate_tables_are_released(spark):
     assert df.count() == 3 and storage.release(spark) > 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
         spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_pdf_with_packed_objects_font_maps_and_filters():
+    """Pages out of order, an object stream, chained filters, a two-byte font, and gaps as spaces."""
+    import base64
+
+    def stream(data, extra=b""):
+        return b"<< " + extra + b" >> stream\n" + data + b"\nendstream"
+
+    packed = [(2, b"<< /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 /Resources << /Font << /F1 8 0 R >> >> >>"), (8, b"<< /Type /Font /ToUnicode 9 0 R >>")]
+    header, inner = b"", b""
+    for n, body in packed:
+        header += b"%d %d " % (n, len(inner))
+        inner += body + b" "
+    cmap = b"begincodespacerange <0000> <FFFF> endcodespacerange beginbfchar <0001> <0054> endbfchar beginbfrange <0002> <0004> <0061> <0005> <0006> [<00E9> <D83DDE42>] endbfrange"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R 10 0 R] >>",
+        4: b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>",
+        5: stream(b"BT /F1 12 Tf 1 0 0 1 0 0 Tm <000100020003> Tj T* [<0004> -300 <0005> 20 <0006>] TJ ET (not shown)"),
+        6: stream(base64.a85encode(zlib.compress(b"BT (Plain \\(text\\) with (nested) \\101)' ET")) + b"~>", b"/Filter [/ASCII85Decode /FlateDecode]"),
+        7: stream(zlib.compress(header + inner), b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % len(header)),
+        9: stream(cmap),
+        10: stream(b"425420285365636F6E64292027204554>", b"/Filter /ASCIIHexDecode"),
+    }
+    data = b"%PDF-1.7\n" + b"".join(b"%d 0 obj %s endobj\n" % (k, o) for k, o in objects.items())
+    d = extract_pdf(data, 10)
+    assert d["n_pages"] == 2
+    assert d["text"].split() == ["Tab", "c", "é\U0001f642", "Plain", "(text)", "with", "(nested)", "A", "Second"]
+    assert extract_pdf(data, 1)["text"].split() == ["Tab", "c", "é\U0001f642"]
