@@ -5,7 +5,8 @@ are collapsed first, so exact copies never meet. Fingerprints within RADIUS bits
 links reach.
 
 Trees. A BK-tree hangs each child under its parent by their Hamming distance and a search follows only edges within the
-radius. One tree over all fingerprints can't be broadcast (it grows with the data) and prunes little at 64 bits, so
+radius. One tree over all fingerprints can't be broadcast (it grows with the data), and a search in it visits more nodes
+the larger it is (395 of 10,000 and 1,764 of 100,000 measured; the README has what broadcast trees would take), so
 the forest is sharded by an exact rule: 64 bits are cut into B blocks, two fingerprints within 3 bits agree on B-3 of
 them at least, and each choice of B-3 blocks with their value names a shard. Trees and searches of a shard meet in the
 task that holds it; no link is lost, and every link of a shard is found by its own tree. B grows with the number of
