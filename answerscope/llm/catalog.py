@@ -11,6 +11,7 @@ from .packing import op10_packing
 from .pattern_packing import op11_pattern_packing
 from .sharding import OP3_SQL, op3_sharding
 from .simhash import op8_simhash_bk
+from .spelling import OP13_SQL, op13_spelling_variants
 from .token_cache import op2_token_cache
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
         op10_packing,
         op11_pattern_packing,
         op12_hard_negatives,
+        op13_spelling_variants,
     )
 }
-ORACLE_SQL = {"op3_sharding": OP3_SQL, "op6_secret_scan": OP6_SQL, "op4_license_rules": OP4_SQL, "op9_benchmark_suffixes": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE_SQL = {"op3_sharding": OP3_SQL, "op6_secret_scan": OP6_SQL, "op4_license_rules": OP4_SQL, "op9_benchmark_suffixes": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_spelling_variants": OP13_SQL}
