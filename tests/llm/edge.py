@@ -36,7 +36,7 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 CLASHING = ["size", "shard", "slot", "fp", "key", "part", "rank", "digest", "n_tokens", "spans", "found", "row", "id", "least", "score", "lang_pred", "media", "line_ids"]
 
 
-def write(spark, folder, docs=None, pages=PAGES, bench=BENCH):
+def write(spark, folder, docs=None, pages=PAGES, bench=BENCH, vectors=()):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(documents() if docs is None else docs, DOC_SCHEMA)
@@ -45,4 +45,5 @@ def write(spark, folder, docs=None, pages=PAGES, bench=BENCH):
     df.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(bench, "item_id string, text string").withColumn("n_words", F.lit(1)).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
