@@ -1,3 +1,5 @@
+from time import perf_counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +237,37 @@ def test_presentation(spark):
     r = spark.range(1).select(presentation.contrast(F.lit("#000000"), F.lit("#FFFFFF")), presentation.contrast(F.lit("#777777"), F.lit("#ffffff"))).first()
     assert list(r) == [pytest.approx(21), pytest.approx(4.478, abs=1e-3)]
     assert apply(spark, "aaa bbb ccc\n\nabcdefghij k", lambda c: presentation.line_count(c, 7)) == [5]
+
+
+LONG = 1_000_000
+LONG_LINES = {
+    "dashes": "-" * LONG + "x", "rule": "- " * (LONG // 2), "signs": "_*" * (LONG // 2) + "x", "dots": "a." * (LONG // 2) + "x", "bars": "|" * LONG, "cells": "|---" * (LONG // 4) + "x", "breaks": "<br>" * (LONG // 4),
+    "wrapped breaks": "<br> \n" * (LONG // 6) + "x", "blanks": "a" + " " * LONG + "x", "line feeds": "\n" * LONG + "x", "brackets": "[" * LONG, "images": "![" * (LONG // 2) + "](x", "open links": "[a](" * (LONG // 4), "one link": "[a](" * (LONG // 4) + ")",
+    "quotes": "." + '"' * LONG + "x", "ticks": "`" * LONG, "stars": "*" * LONG,
+}
+
+
+@pytest.mark.parametrize("kind", LONG_LINES)
+def test_long_lines_of_each_class_end_in_time(spark, kind):
+    """None of them recurses, and none starts anew at each place to run to the same end."""
+    began = perf_counter()
+    got = apply(spark, LONG_LINES[kind], lambda c: sentences.split_sentences(sentences.clean_lines(c)))[0]
+    assert perf_counter() - began < 20
+    kept = {"dashes", "signs", "dots", "cells", "images", "open links", "quotes"}
+    assert bool(got and len("".join(got)) > LONG // 2) == (kind in kept), kind
+
+
+@pytest.mark.parametrize(("line", "rule", "table", "site"), [
+    ("---", True, True, False), (" - - - ", True, False, False), ("-- ", False, False, False), ("*_-", True, False, False), ("-*x", False, False, False), ("|---|:---:|", False, True, False), ("|---|:--:|", False, False, False), ("---|---", False, True, False),
+    ("||---", False, False, False), ("|--|", False, False, False), (":---", False, True, False), ("a.com", False, False, True), (" www.b-c.co.ID ", False, False, True), ("a..com", False, False, False), (".com", False, False, False), ("com", False, False, False), ("a.com x", False, False, False),
+])
+def test_line_classes(spark, line, rule, table, site):
+    got = apply(spark, line, lambda c: F.array(sentences.is_rule(c), sentences.is_table_rule(c), sentences.is_site(c)))[0]
+    assert got == [rule, table, site]
+
+
+def test_leading_breaks_and_images_go_and_all_else_stays(spark):
+    clean = lambda text: apply(spark, text, sentences.clean_body)[0]
+    assert clean("<br>\n\n <br/>One\n<br />two<BR>three") == "One two three"
+    assert clean("a [b](c) ![d](e) f [g] [h](") == "a b f [g] [h]("
+    assert clean("![x](http://h/s2/favicons?a)\nChip\n\nA text that is long enough to stay") == "A text that is long enough to stay"
