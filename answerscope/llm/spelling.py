@@ -44,7 +44,7 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 #: A run is changed where its hash is divisible by this.
 CHANGED = 199
 #: Words of a shard at most, entries of a task's counter, and rows of nodes that may be broadcast.
-SHARD, COUNTED, BROADCAST = 20_000, 1 << 18, 50_000
+SHARD, COUNTED, BROADCAST = 3_000, 1 << 18, 50_000
 WILD = "\0"
 
 
