@@ -131,7 +131,7 @@ def _sentences(text: Column, wrapped: bool) -> Column:
         text = F.array_join(F.transform(F.split(text, BLANK), lambda part: F.regexp_replace(part, r"[\r\n]+", " ")), "\n")
     broken = F.regexp_replace(text, ENDS, "$1\n")
     low = F.translate(broken, UPPER, LOWER)
-    return F.transform(F.split(low, r"[\r\n]+"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+]+", " "), r"^[ .]+|[ .]+$", ""))
+    return F.transform(F.split(low, r"[\r\n]+"), lambda s: F.btrim(F.regexp_replace(s, r"[^a-z0-9.+]+", " "), F.lit(" .")))
 
 
 def _identified(sentences: Column, known: dict[str, str]) -> Column:
