@@ -30,10 +30,7 @@ SHAPES = {
     "sheet": "select cast(n_nationkey as varchar) \"key\", case when n_nationkey % 4 <> 0 then n_name else '' end \"name\", 'a & <b>' || chr(13) || chr(10) note from nation",
     "whole_texts": "select r_regionkey region, r_name || chr(10) as \"text\" from region",
     "binary_files": "select r_name || chr(10) body, 'txt' suffix, true keyed from region",
-    "fetched": """with u as (select 'https://h' || n_regionkey || '.example/p' || n_nationkey url, n_nationkey n,
-    case when n_regionkey = 2 then 'robots_unreachable' when n_regionkey = 0 and n_nationkey = 5 then 'robots_disallowed' when n_nationkey % 11 = 7 then 'TimeoutError' else '' end e from nation),
-  a as (select *, case when e = '' then case when n % 6 = 4 then 404 else 200 end end st, case when e = '' then ['application/pdf', 'text/html', 'image/png'][n % 3 + 1] else '' end kind from u)
-select url, coalesce(st, 0) http_status, e fetch_error, kind content_type, case when st = 200 and n % 3 < 2 then '<p>' || n || '</p>' end body, true keyed from a""",
+    "crawl_cache": "select user_id as key, event_id, event_type <> 'error' good from events qualify row_number() over (partition by user_id order by event_type <> 'error' desc, ts desc) = 1",
     "hosts": "select 'h' || n_regionkey || '.example' host, count(*) urls, 1 parts from nation group by 1",
     "page_columns": f"""select p_partkey, case when p_partkey % 3 = 1 then '' else {DAY.format("p_size")} end "date",
   case p_partkey % 4 when 0 then least(p_size, 30) when 1 then 30 else 5 end wait,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from io import BytesIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from .plans import bindings as B
 from .plans.config import Config
 from .plans.storage import new_path
 from .sources import crawl, files
+from .streaming.crawl_cache import CrawlCache
 from .text_queries import BRANDS, docs
 
 text = F.lit
@@ -70,37 +70,18 @@ def binary_files(s: SparkSession, d: str) -> DataFrame:
     return files.read_binary(s, written_regions(s, d)).select(F.col("body").cast("string").alias("body"), F.substring_index("suffix", ".", -1).alias("suffix"), (F.length("key") > 0).alias("keyed"))
 
 
-class _Answer:
-    def __init__(self, status: int, text: str = "", kind: str = "", url: str = "", headers: dict | None = None):
-        self.status_code, self.text, self.content, self.url, self.encoding, self.headers = status, text, text.encode(), url, "utf-8", {"Content-Type": kind} | (headers or {})
-
-
-def stub_site() -> Callable:
-    """Answers by the page's number, without a network."""
-    busy = set()
-
-    def get(url: str, timeout: float):
-        host, _, page = url.removeprefix("https://").partition("/")
-        if page == "robots.txt":
-            return {"h0": _Answer(200, "User-agent: *\nDisallow: /p5"), "h1": _Answer(404), "h2": _Answer(503)}.get(host.split(".")[0], _Answer(200))
-        n = int(page[1:])
-        if n % 11 == 7:
-            raise TimeoutError
-        if n % 7 == 3 and url not in busy:  # busy at first
-            busy.add(url)
-            return _Answer(429, headers={"Retry-After": "0"})
-        return _Answer(404 if n % 6 == 4 else 200, f"<p>{n}</p>", "application/pdf" if n % 3 == 0 else "text/html" if n % 3 == 1 else "image/png", url)
-
-    return get
-
-
 def site_urls(s: SparkSession, d: str) -> DataFrame:
     return nations(s, d).select(F.format_string("https://h%d.example/p%d", "n_regionkey", "n_nationkey").alias("url"))
 
 
-def fetched(s: SparkSession, d: str) -> DataFrame:
-    found = crawl.fetch_all(site_urls(s, d), stub_site, delay=0, workers=2)
-    return found.select("url", F.coalesce("http_status", F.lit(0)).alias("http_status"), "fetch_error", "content_type", F.col("body").cast("string").alias("body"), (F.col("key") == pages.cache_key(F.col("url"))).alias("keyed"))
+def crawl_cache(s: SparkSession, d: str) -> DataFrame:
+    """The crawl cache after four batches of attempts, which are events of a user, with deltas merged on the way."""
+    cache, none = CrawlCache(s, new_path(s, "crawl_cache"), fanout=3), F.lit("")
+    events = B.read(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("fetched_at"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http_status"))
+    for n in range(4):
+        batch = events.where(F.col("event_id") % 4 == n)
+        cache.add(batch.select("key", F.col("key").alias("url"), F.col("key").alias("final_url"), "http_status", none.alias("fetch_error"), none.alias("content_type"), none.alias("encoding"), "fetched_at", F.col("event_id").cast("string").cast("binary").alias("body")), n)
+    return cache.read().select(F.col("key").cast("long").alias("key"), F.col("body").cast("string").cast("long").alias("event_id"), (F.col("http_status") == 200).alias("good"))
 
 
 def hosts(s: SparkSession, d: str) -> DataFrame:
@@ -261,7 +242,7 @@ SHAPES = {
     "sheet": sheet,
     "whole_texts": whole_texts,
     "binary_files": binary_files,
-    "fetched": fetched,
+    "crawl_cache": crawl_cache,
     "hosts": hosts,
     "page_columns": page_columns,
     "markdown_answers": lambda s, d: sentences.build_sentences(markdown_answers(s, d)),
