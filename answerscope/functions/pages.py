@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import Config
+from . import evidence
 from .sentences import strip
 from .urls import path
 
@@ -101,7 +102,8 @@ class _Reader(HTMLParser):
         if tag == "meta":
             self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a.get("content") or "")
         elif tag == "time" and a.get("datetime"):
-            self.times.append(a["datetime"])
+            said = " ".join(v or "" for k, v in attrs if k in ("itemprop", "class", "id", "property")).lower()
+            self.times.append((a["datetime"], "pubdate" in a or "publi" in said))
         if tag == "title" and not self.title:
             self.in_title = True
         self.in_ld = tag == "script" and (a.get("type") or "").lower() == "application/ld+json"
@@ -134,7 +136,7 @@ def _iso(text: str) -> str:
 
 
 def extract_html(html: str, url: str = "") -> dict:
-    """Dates come from JSON-LD, then the article's meta tag, then a time element, other meta tags or the URL."""
+    """Dates come from JSON-LD, then the article's meta tag, then from all other evidence on the page (functions.evidence)."""
     r = _Reader()
     r.feed(html)
     r.close()
@@ -146,12 +148,13 @@ def extract_html(html: str, url: str = "") -> dict:
         except ValueError:
             continue
         types, dates = types + t, dates + d
-    in_url = re.search(r"/(\d{4})[/-](\d{2})[/-](\d{2})(?:\D|$)", url)
-    guesses = [*r.times, *[r.meta.get(k, "") for k in ("date", "dc.date", "publish-date", "og:published_time")], "-".join(in_url.groups()) if in_url else ""]
-    found = [("jsonld", dates), ("meta", [r.meta.get("article:published_time", "")]), ("htmldate", guesses)]
-    published, source = next(((d, name) for name, options in found for o in options if (d := _iso(o))), ("", ""))
     lines = (" ".join(x.split()) for x in "".join(r.parts).split("\n"))
     text = "\n".join(x for x in lines if x)
+    found = [("jsonld", dates), ("meta", [r.meta.get("article:published_time", "")])]
+    published, source = next(((d, name) for name, options in found for o in options if (d := _iso(o))), ("", ""))
+    if not published:
+        published, _ = evidence.best(evidence.gathered(r.times, r.meta, url, text))
+        source = "htmldate" if published else ""
     return {"title": " ".join(unescape(r.title).split()), "text": text, "n_words": len(text.split()), "published_date": published, "date_source": source, "schema_types": sorted(set(types)), "n_pages": None, "error": ""}
 
 

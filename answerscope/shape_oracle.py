@@ -41,8 +41,11 @@ SHAPES = {
     'Key Brand', p_partkey || ' ' || p_brand, case when p_partkey % 2 = 1 and p_partkey % 3 <> 0 then 'A long report on parts of all kinds' end, case when p_partkey % 3 <> 0 then '2_3' end, 'Last 12. line end'], lambda t: t is not null)) t from part),
   y as (select k, t, row_number() over (partition by k) - 1 i from x)
 select k answer_id, i sent_idx, t as "text", len(string_split(t, ' ')) n_words from y""",
-    "jsonld_fields": f"""select n_name url, n_name || ' & co' title, n_nationkey n_words, case when n_nationkey % 4 in (0, 3) then {DAY.format("n_nationkey")} else '2023-05-06' end published_date,
-  case when n_nationkey % 4 in (0, 3) then 'jsonld' else 'meta' end date_source, ['Corporation;NewsArticle;Thing', 'FAQPage;Question', '', 'Report'][n_nationkey % 4 + 1] types from nation""",
+    "jsonld_fields": f"""select n_name url, case when n_nationkey % 4 in (0, 3) then {DAY.format("n_nationkey")} else '2023-05-06' end published_date,
+  case when n_nationkey % 4 in (0, 3) then 'jsonld' else 'meta' end date_source, ['NewsArticle;Thing', 'FAQPage;Question', '', 'Report'][n_nationkey % 4 + 1] types from nation""",
+    "date_sources": f"""with p as (select p_partkey k, p_partkey % 8 place, {DAY.format("p_size")} d, strftime(date '2024-01-01' + cast(p_size as int), '%Y/%m/%d') u from part)
+select 'https://tea.example/' || case when place in (0, 6) then u || '/' else '' end || k url, case when place < 7 then d else '' end published_date,
+  case place when 0 then 'jsonld' when 1 then 'meta' when 7 then '' else 'htmldate' end date_source, 3 + [2, 2, 2, 2, 10, 7, 3, 2][place + 1] n_words from p""",
     "pdf_pages": "select r_name url, 'Region ' || r_name || ' has (some) Nations' as \"text\", 4 + len(string_split(r_name, ' ')) n_words, 2 n_pages, '' \"error\" from region",
     "page_table": """with p as (select *, p_partkey k, p_partkey % 7 > 0 f, ['jsonld', 'htmldate', ''][p_partkey % 3 + 1] s from part),
   q as (select *, f and s = 'htmldate' and p_size % 9 <= 3 near, f and k % 13 = 0 soft, case when f then p_size * 3 else 0 end w from p)

@@ -7,7 +7,7 @@ from io import BytesIO
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import entities, numbers, pages, sentences, urls
+from .functions import entities, jsonld, numbers, pages, sentences, urls
 from .operators import brand, facts, quality
 from .plans import bindings as B
 from .plans.config import Config
@@ -113,19 +113,30 @@ def markdown_answers(s: SparkSession, d: str) -> DataFrame:
     return B.read(s, d, "part").select(F.col("p_partkey").alias("answer_id"), F.concat_ws("\n", *lines).alias("answer_body"))
 
 
-def jsonld_pages(s: SparkSession, d: str) -> DataFrame:
-    """Structured data in its usual nestings, and dates by the place they stand in."""
-    k, day = F.col("n_nationkey"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey")), "yyyy-MM-dd")
-    graph = joined('{"@graph": [{"@type": "NewsArticle", "datePublished": "', day, 'T01:02"}, {"@type": ["Corporation", "Thing"]}]}')
-    flat = text('{"@type": "FAQPage", "mainEntity": [{"@type": "Question"}, {"@type": "FAQPage"}]}')
-    block = F.when(k % 4 == 0, graph).when(k % 4 == 1, flat).when(k % 4 == 2, '{"@type": broken').otherwise(joined('{"@type": "Report", "datePublished": "', day, '"}'))
-    html = joined("<html><head><title> ", F.col("n_name"), " &amp; co </title><meta property='article:published_time' content='2023-05-06T07:08'><script type='application/ld+json'>", block, "</script></head><body><nav>Menu of words</nav><p>", F.repeat(F.lit("leaf "), k), "</p></body></html>")
-    rows = nations(s, d).select(F.col("n_name").alias("url"), F.lit("html").alias("content_kind"), F.lit("").alias("encoding"), html.cast("binary").alias("body"))
-    return pages.extracted(rows)
-
-
 def jsonld_fields(s: SparkSession, d: str) -> DataFrame:
-    return jsonld_pages(s, d).select("url", "title", "n_words", "published_date", "date_source", F.array_join("schema_types", ";").alias("types"))
+    """Types and dates by VARIANT alone, each block in as many graphs, two levels each, as its nation says."""
+    k, day = F.col("n_nationkey"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey")), "yyyy-MM-dd")
+    block = F.when(k % 4 == 0, joined('{"@type": ["NewsArticle", "Thing"], "datePublished": "', day, 'T01:02"}')).when(k % 4 == 1, '{"@type": "FAQPage", "mainEntity": [{"@type": "Question"}, {"@type": "FAQPage"}]}')
+    block = block.when(k % 4 == 2, '{"@type": broken').otherwise(joined('{"zeta": {"datePublished": "soon"}, "about": {"@type": "Report", "datePublished": " ', day, '"}, "alpha": {"datePublished": "2001-01-01"}}'))
+    deep = F.aggregate(F.sequence(F.lit(1), k + 2), block, lambda acc, _: joined('{"@graph": [1, "[", ', acc, "]}"))
+    html = joined("<head><meta property='article:published_time' content='2023-05-06T07:08'><script type='application/ld+json'>", deep, "</script></head>")
+    found = jsonld.fields(nations(s, d).select(F.col("n_name").alias("url"), html.alias("html")))
+    return found.select("url", "published_date", "date_source", F.array_join("types", ";").alias("types"))
+
+
+def date_sources(s: SparkSession, d: str) -> DataFrame:
+    """Pages that say their date in every kind of place, through the reader of pages."""
+    k, on = F.col("p_partkey"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    day, spelt, other = F.date_format(on, "yyyy-MM-dd"), F.date_format(on, "d MMMM yyyy"), F.lit("2011-11-11")
+    place = k % 8
+    head = F.when(place == 0, joined('<script type="application/ld+json">{"@type":"Article","datePublished":"', day, '"}</script>')).when(place == 1, joined('<meta property="article:published_time" content="', day, 'T08:00">'))
+    head = head.when(place == 2, joined('<meta name="pubdate" content="', day, '"><meta property="og:updated_time" content="', other, '">')).otherwise("")
+    body = F.when(place == 3, joined("<p>", other, "</p><time datetime='", day, "'>then</time>")).when(place == 4, joined("<p>On ", other, " tea was dear.</p><p>Published on ", spelt, "</p>"))
+    body = body.when(place == 5, joined("<p>Of ", spelt, ", or of ", other, "</p>")).when(place == 6, joined("<time datetime='", other, "'>x</time><p>Posted: ", day, "</p>")).otherwise("<p>No day.</p>")
+    url = joined("https://tea.example/", F.when((place == 6) | (place == 0), joined(F.date_format(on, "yyyy/MM/dd"), "/")).otherwise(""), k.cast("string"))
+    html = joined("<html><head>", head, "</head><body>", body, "<p>Leaf &amp; bud</p></body></html>")
+    rows = B.read(s, d, "part").select(url.alias("url"), F.lit("html").alias("content_kind"), F.lit("").alias("encoding"), html.cast("binary").alias("body"))
+    return pages.extracted(rows).select("url", "published_date", "date_source", "n_words")
 
 
 def pdf_pages(s: SparkSession, d: str) -> DataFrame:
@@ -247,6 +258,7 @@ SHAPES = {
     "page_columns": page_columns,
     "markdown_answers": lambda s, d: sentences.build_sentences(markdown_answers(s, d)),
     "jsonld_fields": jsonld_fields,
+    "date_sources": date_sources,
     "pdf_pages": pdf_pages,
     "page_table": page_table,
     "answer_ids": answer_ids,
