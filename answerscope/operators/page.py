@@ -39,8 +39,27 @@ def age_group(published: Column, run_date: str, bins: tuple[int, int, int]) -> C
     return F.when(days.isNull(), "unknown").when(days <= a, f"0-{a}").when(days <= b, f"{a + 1}-{b}").when(days <= c, f"{b + 1}-{c}").otherwise(f">{c}")
 
 
+def one_a_url(pages: DataFrame) -> DataFrame:
+    """One row for each url, so that joins by it never multiply rows: a readable one first, then the latest crawled, then the
+    one with most words; what is left is told apart by the other columns, whatever their order. Rows without a url are one.
+
+    The grouping is by the key of the joins that follow, and shares their exchange.
+    """
+    rest = [c for c in pages.columns if c != "url"]
+    order = [F.coalesce(F.col("is_readable").cast("string") == "true", F.lit(False)).alias("a"), optional(pages, "crawled_at").cast("string").alias("b"), optional(pages, "n_words", "int").cast("long").alias("c"), F.to_json(F.struct(*sorted(rest))).alias("d")]
+    chosen = pages.groupBy("url").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    return chosen.select("url", "r.*")
+
+
+def repeated_pages(pages: DataFrame) -> DataFrame:
+    """What breaks the contract of one row a url: url, n."""
+    return pages.groupBy("url").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def page_facts(pages: DataFrame, domains: DataFrame, run_date: str, bins: tuple[int, int, int]) -> DataFrame:
-    """One row for each page: domain_type, reason, age groups on both bases, readable, kind and schema types."""
+    """One row for each url: domain_type, reason, age groups on both bases, readable, kind and schema types."""
+    used = [c for c in ("url", "is_readable", "soft_404", "fetch_error", "http_status", "published_date", "date_source", "content_kind", "schema_types", "crawled_at", "n_words") if c in pages.columns]
+    pages = one_a_url(pages.select(*used))
     group = age_group(F.col("published_date"), run_date, bins)
     facts = pages.select(
         "url", domain_part(F.col("url")).alias("domain"), (F.col("is_readable").cast("string") == "true").alias("readable"),

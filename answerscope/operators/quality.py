@@ -39,10 +39,11 @@ def review_counts(hits: DataFrame) -> DataFrame:
 
 
 def readable_shares(pages: DataFrame, citations: DataFrame) -> DataFrame:
-    """One row: readable pages, pages, and the share of citations they have."""
-    ok = (F.col("is_readable").cast("string") == "true").cast("double")
+    """One row: readable pages, pages, and the share of citations they have. A url is one page, readable if any of its rows is."""
+    pages = pages.groupBy("url").agg(F.max((F.col("is_readable").cast("string") == "true").cast("double")).alias("ok"))
+    ok = F.col("ok")
     whole = pages.agg(F.sum(ok).cast("long").alias("readable"), F.count("*").alias("pages"), F.avg(ok).alias("page_share"))
-    of = citations.select("url").join(pages.select("url", ok.alias("ok")), "url").agg(F.avg("ok").alias("citation_share"))
+    of = citations.select("url").join(pages, "url").agg(F.avg("ok").alias("citation_share"))
     return whole.join(F.broadcast(of))  # one row each
 
 

@@ -227,3 +227,7 @@ SQL |= {
   0.2126 * pow((11 / 255.0 + 0.055) / 1.055, 2.4) + 0.7152 * pow((12 / 255.0 + 0.055) / 1.055, 2.4) + 0.0722 * pow((14 / 255.0 + 0.055) / 1.055, 2.4) b from c) select n_nationkey, round((x + 0.05) / (b + 0.05), 6) contrast from l""",
     "turns_by_role": "select role, count(*) turns, count(distinct conv_id) conversations, cast(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) as bigint) words from conversations group by 1",
 }
+
+# Repeated pages change nothing.
+SQL["recency_guarded"], SQL["readability_guarded"] = SQL["recency"], SQL["readability"]
+SQL["pages_repeated"] = BASE + "select url, count(*) * 3 n from pages where cast(regexp_extract(url, 'p([0-9]+)$', 1) as int) % 4 = 0 group by 1"

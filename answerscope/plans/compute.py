@@ -14,7 +14,8 @@ def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None) -> dict
     cfg = cfg or Config()
     t = tables
     answers, mentions, citations = t["answers"], t["mentions"], t["citations"]
-    parts = answers, brand.stored_facts(t["sentences"], mentions), t["sentiment"]
+    named = brand.stored_facts(t["sentences"], mentions)
+    parts = answers, named, t["sentiment"]
     out = {"brand_engine": brand.brand_table(*parts), "brand_pillar": brand.brand_table(*parts, cut="pillar"), "brand_intent": brand.brand_table(*parts, cut="intent")}
     out["no_brand_rate"] = brand.no_brand_rate(answers, mentions)
     cited = stored(citation.labelled(citations, answers, t["domains"]), "labelled")
@@ -30,5 +31,5 @@ def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None) -> dict
     out["readability"] = page.readability(facts, citations)
     out["recency"] = page.recency(facts, citations)
     out["schema"] = page.schema_flags(facts)
-    out["vis"], out["vis_engine"] = score.vis(answers, mentions, citations, t["domains"], out["brand_engine"], cfg)
+    out["vis"], out["vis_engine"] = score.vis(answers, named, citations, t["domains"], out["brand_engine"], cfg)
     return out

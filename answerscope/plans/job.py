@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import quality
 from ..sources.answers import load_answers, with_sections
 from .compute import compute_all
 from .config import Config
+from .publish import Staged, StageStore
 from .schemas import assert_counts
 from .storage import stored
 
@@ -31,13 +34,21 @@ def read_answers(sheet: DataFrame, reruns: DataFrame | None, cfg: Config) -> dic
     return {"answers": answers, "citations": cited, "sentences": stored(sentences.build_sentences(answers), "sentences")}
 
 
-def read_pages(crawl: DataFrame, brands: list[Brand], cfg: Config) -> dict[str, DataFrame]:
-    """pages and page_brand_counts from a crawl (the columns of an attempt, content_kind, and rendered where there is any)."""
-    found = stored(pages.extracted(crawl.select("url", "content_kind", "encoding", "body"), cfg.pdf_max_pages), "extracted")
+def _extracted(crawl: DataFrame, cfg: Config) -> DataFrame:
+    return pages.extracted(crawl.select("url", "content_kind", "encoding", "body"), cfg.pdf_max_pages)
+
+
+def _page_table(crawl: DataFrame, found: DataFrame, cfg: Config) -> DataFrame:
     rows = pages.page_rows(crawl.drop("body", "encoding"), found, cfg)
     rendered = F.coalesce(F.col("rendered"), F.lit(False)) if "rendered" in crawl.columns else F.lit(False)
     source = crawl.select("url", F.when(rendered, "rendered").when(F.col("body").isNotNull(), "raw").otherwise("").alias("body_source"))
-    return {"pages": stored(rows.join(source, "url"), "pages"), "page_brand_counts": stored(entities.brand_counts(found.where("text <> ''"), brands), "page_brand_counts")}
+    return rows.join(source, "url")
+
+
+def read_pages(crawl: DataFrame, brands: list[Brand], cfg: Config) -> dict[str, DataFrame]:
+    """pages and page_brand_counts from a crawl (the columns of an attempt, content_kind, and rendered where there is any)."""
+    found = stored(_extracted(crawl, cfg), "extracted")
+    return {"pages": stored(_page_table(crawl, found, cfg), "pages"), "page_brand_counts": stored(entities.brand_counts(found.where("text <> ''"), brands), "page_brand_counts")}
 
 
 def run_all(sheet: DataFrame, reruns: DataFrame | None, crawl: DataFrame, labels: dict[str, DataFrame], brands: list[Brand], cfg: Config, usual: int = 10) -> dict[str, DataFrame]:
@@ -54,3 +65,45 @@ def run_all(sheet: DataFrame, reruns: DataFrame | None, crawl: DataFrame, labels
     t["mentions"] = stored(mentions, "mentions")
     t |= read_pages(crawl, brands, cfg)
     return t | compute_all(t, cfg) | {"report": quality.report_lines(t, cfg, usual)}
+
+
+def published(store: StageStore, sources: dict[str, Staged], brands: list[Brand], cfg: Config, usual: int = 10) -> dict[str, DataFrame]:
+    """The whole job in stages that a restart finds done, published at its end: sources are sheet, crawl and the labels
+    (domains, sentiment, ambiguous_hits, sentiment_spotcheck), and reruns where there are any.
+
+    Undecided ambiguous hits raise ReviewNeeded; stages up to there stay, and only what the decisions touch is done again.
+    """
+    said = repr((brands, cfg))
+    stage = lambda name, inputs, build, settings=said: store.stage(name, inputs, build, settings)
+    reruns = [sources["reruns"]] if "reruns" in sources else []
+    answers = stage("answers", [sources["sheet"], *reruns], lambda sheet, *r: with_sections(load_answers(sheet, *(r or [None]), cfg)))
+    cited = stage("citations", [answers], urls.extract_citations)
+    if cfg.expected_counts:
+        assert_counts(answers.df, cited.df, cfg.expected_counts)
+    t = {n: sources[n] for n in ("domains", "sentiment", "ambiguous_hits", "sentiment_spotcheck")} | {"answers": answers, "citations": cited}
+    t["sentences"] = stage("sentences", [answers], sentences.build_sentences)
+    hits = stage("hits", [t["sentences"]], lambda s: entities.all_hits(s, brands))
+    _, review = entities.decided(hits.df, t["ambiguous_hits"].df)
+    if n := review.count():
+        raise ReviewNeeded(queued(t["ambiguous_hits"].df, review), n)
+    t["mentions"] = stage("mentions", [hits, t["ambiguous_hits"]], lambda h, d: entities.decided(h, d)[0])
+    found = stage("extracted", [sources["crawl"]], lambda c: _extracted(c, cfg))
+    t["pages"] = stage("pages", [sources["crawl"], found], lambda c, f: _page_table(c, f, cfg))
+    t["page_brand_counts"] = stage("page_brand_counts", [found], lambda f: entities.brand_counts(f.where("text <> ''"), brands))
+    inputs = list(t.values())
+    frames = lambda dfs: dict(zip(t, dfs, strict=True))
+    names = ["brand_engine", "brand_pillar", "brand_intent", "no_brand_rate", "domains", "pages_top", "cross_engine_pages", "domain_type_mix", "authority_mix", "concentration", "source_sov", "readability", "recency", "schema", "vis", "vis_engine"]
+    tables: dict[str, DataFrame] = {}
+
+    def metric(name: str) -> Callable[..., DataFrame]:
+        def build(*dfs: DataFrame) -> DataFrame:
+            if not tables:  # what several tables share is computed once in a run, and only if one is missing
+                tables.update(compute_all(frames(dfs), cfg))
+            return tables[name]
+
+        return build
+
+    out = {f"metric_{n}": stage(f"metric_{n}", inputs, metric(n)) for n in names}
+    out["report"] = stage("report", inputs, lambda *dfs: quality.report_lines(frames(dfs), cfg, usual), f"{said}{usual}")
+    store.publish(t | out)
+    return store.read()

@@ -34,7 +34,26 @@ def page_facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def vis(which: int) -> Query:
-    return lambda s, d: score.vis(B.answers(s, d), B.mentions(s, d), B.citations(s, d), B.domains(s, d), brand_cut(None)(s, d), B.CFG)[which]
+    """Sentences and mentions are gone through once, for all parts of the score."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        named = brand.stored_facts(B.sentences(s, d), B.mentions(s, d))
+        table = brand.brand_table(B.answers(s, d), named, B.sentiment(s, d))
+        return score.vis(B.answers(s, d), named, B.citations(s, d), B.domains(s, d), table, B.CFG)[which]
+
+    return query
+
+
+def repeated_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every fourth page stands in the table twice more, with fewer words, once unreadable."""
+    pages = B.pages(s, d)
+    some = pages.where(F.regexp_extract("url", r"p(\d+)$", 1).cast("int") % 4 == 0)
+    worse = some.withColumns({"n_words": F.col("n_words") - 2, "is_readable": F.lit(False), "http_status": F.lit(404), "soft_404": F.lit(False), "published_date": F.lit(None).cast("date")})
+    return pages.unionByName(worse).unionByName(some.withColumns({"n_words": F.col("n_words") - 1, "published_date": F.lit(None).cast("date"), "schema_types": F.lit("")}))
+
+
+def guarded(s: SparkSession, d: str) -> DataFrame:
+    return page.page_facts(repeated_pages(s, d), B.domains(s, d), B.CFG.run_date, B.CFG.recency_bins)
 
 
 def pillar_counts(s: SparkSession, d: str) -> DataFrame:
@@ -72,8 +91,11 @@ STAR: dict[str, Query] = {
     "unreadable_reason": lambda s, d: page_facts(s, d).select("url", "domain", "reason", "group", "group_structured"),
     "readability": lambda s, d: page.readability(page_facts(s, d), B.citations(s, d)),
     "recency": lambda s, d: page.recency(page_facts(s, d), B.citations(s, d)),
+    "recency_guarded": lambda s, d: page.recency(guarded(s, d), B.citations(s, d)),
+    "readability_guarded": lambda s, d: page.readability(guarded(s, d), B.citations(s, d)),
+    "pages_repeated": lambda s, d: page.repeated_pages(repeated_pages(s, d)),
     "schema": lambda s, d: page.schema_flags(page_facts(s, d)),
-    "authority": lambda s, d: score.authority(B.answers(s, d), B.mentions(s, d), B.citations(s, d), B.domains(s, d), B.CFG.authority_values),
+    "authority": lambda s, d: score.authority(B.answers(s, d), score.pairs_of(B.mentions(s, d)), B.citations(s, d), B.domains(s, d), B.CFG.authority_values),
     "vis": vis(0),
     "vis_engine": vis(1),
     "row_counts": lambda s, d: facts.row_counts(B.star(s, d)),
