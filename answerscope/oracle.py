@@ -231,3 +231,15 @@ SQL |= {
 # Repeated pages change nothing.
 SQL["recency_guarded"], SQL["readability_guarded"] = SQL["recency"], SQL["readability"]
 SQL["pages_repeated"] = BASE + "select url, count(*) * 3 n from pages where cast(regexp_extract(url, 'p([0-9]+)$', 1) as int) % 4 = 0 group by 1"
+SQL["attribution"] = r"""with w as (select doc_id answer_id, unnest(range(len(x))) i, unnest(x) t from (select doc_id, string_split(text, '. ') x from documents where text is not null)),
+words as (select answer_id, i, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda v: v <> '' and v not in ('the', 'and', 'of', 'der', 'und', 'la', 'le', 'de')) c from w),
+grams as (select answer_id, i, list_distinct(case when len(c) < 3 then c else list_transform(range(1, len(c)), lambda k: c[k] || ' ' || c[k + 1]) end) g from words),
+pg as (select url, max(regexp_replace(html, '<[^>]*>', ' ', 'g')) t from pages group by url),
+pw as (select url, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda v: v <> '' and v not in ('the', 'and', 'of', 'der', 'und', 'la', 'le', 'de')) c from pg),
+page_grams as (select url, unnest(list_distinct(list_concat(c, list_transform(range(1, len(c)), lambda k: c[k] || ' ' || c[k + 1])))) g from pw),
+cited as (select doc_id answer_id, url, min(r) r from documents, range(1, 11) k(r), pages where page_id = (doc_id * 3 + r * 7) % (select count(*) from pages) group by all),
+each as (select answer_id, i, len(g) n, unnest(g) g from grams),
+met as (select e.answer_id, e.i, c.url, min(r) r, count(*) / min(n) score from each e join cited c on c.answer_id = e.answer_id join page_grams p on p.url = c.url and p.g = e.g group by all),
+ranked as (select *, row_number() over (partition by answer_id, i order by score desc, r) nth from met)
+select g.answer_id, cast(g.i as bigint) sent_idx, case when a.score >= 0.3 then a.url end best_url, round(coalesce(a.score, 0), 6) score, round(coalesce(b.score, 0), 6) second_score, coalesce(a.score, 0) >= 0.3 attributed
+from grams g left join ranked a on a.answer_id = g.answer_id and a.i = g.i and a.nth = 1 left join ranked b on b.answer_id = g.answer_id and b.i = g.i and b.nth = 2"""

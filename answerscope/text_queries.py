@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import entities, numbers, pages, presentation, sentences, urls
 from .functions.entities import Brand
+from .operators import attribution as attribute
 from .plans.bindings import read
 
 #: A dictionary of words that the texts have: longer over shorter aliases, parents, case rules and an ambiguous alias.
@@ -55,6 +56,20 @@ def extracted(s: SparkSession, d: str) -> DataFrame:
     return pages.extracted(p).select("url", "title", "n_words", "date_source")
 
 
+STOPWORDS = ("the", "and", "of", "der", "und", "la", "le", "de")
+
+
+def attribution(s: SparkSession, d: str) -> DataFrame:
+    """Documents as answers, each of which cites ten of all pages, in turn."""
+    pages_ = read(s, d, "pages").select("page_id", "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    n = pages_.agg(F.count("*").alias("n_pages"))  # one row
+    sentences_ = docs(s, d).select(F.col("doc_id").alias("answer_id"), F.posexplode(F.split("text", r"\. ")).alias("sent_idx", "text"))
+    cited = docs(s, d).select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).join(F.broadcast(n))
+    cited = cited.withColumn("page_id", (F.col("answer_id") * 3 + F.col("rank") * 7) % F.col("n_pages")).join(pages_.select("page_id", "url"), "page_id")
+    texts = pages_.groupBy("url").agg(F.max("text").alias("text"))
+    return attribute.attributed(sentences_, cited.select("answer_id", "rank", "url"), texts, stopwords=STOPWORDS)
+
+
 TEXT = {
     "url_normalize": url_rows,
     "url_dedupe": lambda s, d: url_rows(s, d).groupBy("domain").agg(F.count("*").alias("pages"), F.countDistinct("clean").alias("urls")),
@@ -73,5 +88,6 @@ TEXT = {
     ),
     "title_contrast": lambda s, d: read(s, d, "nation").select("n_nationkey", presentation.contrast(F.format_string("#%02x%02x10", F.col("n_nationkey") * 10, 250 - F.col("n_nationkey") * 10), F.lit("#0B0C0E")).alias("contrast")),
     "line_counts": lambda s, d: docs(s, d).select("doc_id", presentation.line_count(F.col("text"), 40).alias("lines")),
+    "attribution": attribution,
     "turns_by_role": lambda s, d: read(s, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(sentences.word_count(F.col("text"))).alias("words")),
 }
