@@ -45,6 +45,8 @@ TOGETHER = 8 << 20
 LIGHT = 0.1
 #: Columns that may enter the active set at once, and rounds at most; the part of the histogram's squares that may stay unmatched.
 ENTER, ROUNDS, UNMATCHED = 256, 100, 1e-6
+#: A mean square misfit of lengths (in pieces) that rounding would undo: closer is close enough.
+ROUNDED = 0.05
 #: Steps of conjugate gradients in a solution, and the part of the squared gradient at which they end.
 STEPS, SETTLED = 50, 1e-6
 
@@ -94,9 +96,10 @@ def repeats(counts: np.ndarray, shapes: np.ndarray, window: int = WINDOW) -> np.
         return y
 
     every, whole = np.arange(len(shapes)), target @ target
+    enough = max(UNMATCHED * whole, ROUNDED * ((weight * (counts > 0)) ** 2).sum())
     for _ in range(ROUNDS):
         r = target - of(active, x[active])
-        if r @ r <= UNMATCHED * whole:
+        if r @ r <= enough:
             break
         descent = back(every, r)
         descent[active] = 0
