@@ -6,6 +6,7 @@ chips are hidden, are left to the queries over constructed answers.
 
 from __future__ import annotations
 
+# Line classes, abbreviations, sentence ends, as in functions.sentences.
 WORD = r"[\p{L}\p{M}\p{N}_]"
 LIST = r"^\s*(?:[*+\-•]|\d+[.)])\s+"
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
@@ -24,6 +25,7 @@ def _strip(x: str) -> str:
     return _replaced(x, (r"^\s+|\s+$", ""))
 
 
+# Lines that are markers.
 def _marker(t: str) -> str:
     return rf"(regexp_matches({t}, '^\+\d+$') or regexp_matches({t}, '^([-*_]\s*){{3,}}$') or {t} = 'Add to Favorites')"
 
