@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.contracts import Watched
 from ..plans.storage import stored
 
 LABELS = {"positive": "n_pos", "neutral": "n_neu", "negative": "n_neg", "mixed": "n_mixed"}
@@ -30,7 +31,18 @@ def sentence_weights(sentences: DataFrame) -> DataFrame:
 
 
 def answer_brands(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
-    """answer_id, brand, ai_mentions, pawc, first_mention_pos for each pair that occurs.
+    """answer_id, brand, ai_mentions, pawc, first_mention_pos for each pair that occurs."""
+    return _pairs(sentences, mentions).drop("lost", "again")
+
+
+def answer_brands_watched(sentences: DataFrame, mentions: DataFrame) -> Watched:
+    """answer_brands with its contracts, counted in mentions: the sentence of a mention is there, and once."""
+    breaks = {"mentions_without_sentence": F.col("lost"), "mentions_of_repeated_sentences": F.col("again")}
+    return Watched(_pairs(sentences, mentions), breaks, None, ("lost", "again"))
+
+
+def _pairs(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The rows of answer_brands, with how many of a pair's mentions have no sentence, and how many have several.
 
     Sentences and mentions go through one exchange by answer, as rows of one table; what a mention needs of its
     sentence and of its answer are windows over that partitioning, and both groupings keep it.
@@ -39,13 +51,16 @@ def answer_brands(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
     rows = rows.unionByName(mentions.where(F.col("brand").isNotNull()).select("answer_id", "sent_idx", F.lit(None).cast("double").alias("words"), "brand", F.lit(0).alias("s")))
     whole, one = Window.partitionBy("answer_id"), Window.partitionBy("answer_id", "sent_idx")
     placed = rows.select(
-        "*", F.sum("s").over(whole).alias("n_sents"), F.sum("words").over(whole).alias("all_words"), F.max("words").over(one).alias("own_words")
+        "*", F.sum("s").over(whole).alias("n_sents"), F.sum("words").over(whole).alias("all_words"), F.max("words").over(one).alias("own_words"),
+        F.sum("s").over(one).alias("own_sents"),
     ).where("s = 0")
-    each = placed.groupBy("answer_id", "brand", "sent_idx").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("n_sents", "all_words", "own_words")])
+    each = placed.groupBy("answer_id", "brand", "sent_idx").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("n_sents", "all_words", "own_words", "own_sents")])
+    so_many = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
     weight = F.try_divide(F.col("own_words"), F.col("all_words")) * pawc_weight(F.col("sent_idx"), F.col("n_sents"))
     return each.groupBy("answer_id", "brand").agg(
         F.sum("n").alias("ai_mentions"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("pawc"),
         F.try_divide(F.min("sent_idx"), F.max("n_sents")).alias("first_mention_pos"),
+        so_many(F.col("own_sents") == 0).alias("lost"), so_many(F.col("own_sents") > 1).alias("again"),
     )
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.contracts import Watched
 from ..plans.storage import stored
 
+#: Ways that rows without a key are dealt.
+KEYLESS = 64
+
 
 def labelled(citations: DataFrame, answers: DataFrame, domains: DataFrame) -> DataFrame:
     """Citations with the answer's prompt and pillar, and the domain's labels where it has any."""
@@ -14,6 +18,32 @@ def labelled(citations: DataFrame, answers: DataFrame, domains: DataFrame) -> Da
     return c.join(domains.select("domain", "domain_type", "authority_tier"), "domain", "left")
 
 
+def labelled_watched(citations: DataFrame, answers: DataFrame, domains: DataFrame) -> Watched:
+    """labelled, with its contracts: each answer once, each citation of an answer there is; domains labelled, and once.
+
+    Citations and answers go through one exchange by answer as rows of one table, so that answers without citations are
+    seen too. A repeated answer or label multiplies nothing: the largest of its rows counts. Rows without answer_id are
+    dealt by their url.
+    """
+    labels = domains.groupBy("domain").agg(F.max(F.struct("domain_type", "authority_tier")).alias("label"), F.count("*").alias("n_labels"))
+    c = citations.select("answer_id", "engine", "rank", "url", "domain").join(labels, "domain", "left")
+    rows = c.withColumn("is_answer", F.lit(False)).unionByName(
+        answers.select("answer_id", F.struct("prompt_no", "pillar").alias("answer"), F.lit(True).alias("is_answer")), allowMissingColumns=True
+    )
+    whole = Window.partitionBy("answer_id", F.when(F.col("answer_id").isNull(), F.pmod(F.xxhash64("url"), F.lit(KEYLESS))))
+    rows = rows.withColumns({"n_answers": F.count_if("is_answer").over(whole), "answer": F.max("answer").over(whole)})
+    known = F.col("answer_id").isNotNull() & (F.col("n_answers") > 0)
+    cited = ~F.col("is_answer")
+    placed = rows.select(
+        "domain", "answer_id", "engine", "rank", "url", "answer.prompt_no", "answer.pillar", "label.domain_type", "label.authority_tier", "is_answer", "n_answers", "n_labels"
+    )
+    breaks = {
+        "answers_repeated": F.col("is_answer") & F.col("answer_id").isNotNull() & (F.col("n_answers") > 1), "answers_without_id": F.col("is_answer") & F.col("answer_id").isNull(),
+        "citations_without_answer": cited & ~known, "citations_unlabelled": cited & F.col("n_labels").isNull(), "citations_of_repeated_labels": cited & (F.col("n_labels") > 1),
+    }
+    return Watched(placed, breaks, cited & known, ("is_answer", "n_answers", "n_labels"))
+
+
 def readable_urls(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("is_readable").cast("string") == "true").select("url").distinct()
 

@@ -160,6 +160,20 @@ select count(*) filter (w and d) wrapped_dead, count(*) filter (w) wrapped, coun
     "dated_citations": BASE + RECENCY + "select max(n) readable_citations, cast(sum(citations) filter (\"group\" <> 'unknown') as bigint) dated_citations from rec where cut = 'engine' and \"value\" = 'All' and basis = 'structured dates only'",
     "compare_prompt": BASE + "select engine, string_agg(distinct brand, '+' order by brand) brands from mentions join answers using (answer_id) where prompt_no = 13 group by 1",
     "expected_counts": BASE + "select (select count(*) from answers) answers, count(*) citations, count(distinct url) unique_urls, count(distinct domain) domains from citations",
+    "contracts_observed": BASE + """, a as (select answer_id from answers where engine <> 'P' union all select answer_id from answers where engine <> 'P' and prompt_no % 10 = 0),
+an as (select answer_id, count(*) n from a group by 1), bs as (select answer_id, sent_idx from sentences where sent_idx <> 1 union all select answer_id, sent_idx from sentences where sent_idx = 2),
+sn as (select answer_id, sent_idx, count(*) n from bs group by all), ms as (select m.*, coalesce(n, 0) n from mentions m left join sn using (answer_id, sent_idx) where brand is not null),
+lb as (select domain, domain_type from domains where domain_type <> 'EUROPE' union all select domain, domain_type from domains where domain_type = 'ASIA'),
+ld as (select domain, count(*) n from lb group by 1)
+select 'answers_repeated' contract, cast(coalesce((select sum(n) from an where n > 1), 0) as bigint) n
+union all select 'answers_without_id', (select count(*) from a where answer_id is null)
+union all select 'citations_of_repeated_labels', (select count(*) from citations join ld using (domain) where n > 1)
+union all select 'citations_unlabelled', (select count(*) from citations where domain not in (select domain from ld))
+union all select 'citations_without_answer', (select count(*) from citations where answer_id not in (select answer_id from a))
+union all select 'mentions_of_repeated_sentences', (select count(*) from ms where n > 1)
+union all select 'mentions_without_sentence', (select count(*) from ms where n = 0)
+union all select 'rows:answer_brands', (select count(*) from (select distinct answer_id, brand from ms))
+union all select 'rows:labelled', (select count(*) from citations where answer_id in (select answer_id from a))""",
     "mentions_without_answer": BASE + "select distinct answer_id from mentions where answer_id not in (select answer_id from answers where engine <> 'P')",
     "override_by_key": BASE + "select answer_id, prompt_no, case when pillar = '5-LOW' then 'changed' else pillar end pillar from answers",
     "unpivot_engines": "select c_custkey, 'F' engine, c_name as text from customer union all select c_custkey, 'O', c_mktsegment from customer",

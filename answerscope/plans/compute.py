@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 
 from ..operators import brand, citation, page, score
 from .config import Config
-from .storage import stored
+from .contracts import gather, stored_watched
 
 
-def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None) -> dict[str, DataFrame]:
-    """Lazily, but for what several results need (answers' brands, labelled citations) and the pages' ranks: these are stored."""
+def compute_all(tables: dict[str, DataFrame], cfg: Config | None = None, checks: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Lazily, but for what several results need (answers' brands, labelled citations) and the pages' ranks: these are stored.
+
+    checks, where it is given, gets what these writes observe: rows, and breaks of each contract (contracts.hold).
+    """
     cfg = cfg or Config()
+    checks = {} if checks is None else checks
     t = tables
     answers, mentions, citations = t["answers"], t["mentions"], t["citations"]
-    named = brand.stored_facts(t["sentences"], mentions)
+    named, found = stored_watched(brand.answer_brands_watched(t["sentences"], mentions), "answer_brands")
+    gather(checks, "answer_brands", found)
     parts = answers, named, t["sentiment"]
     out = {"brand_engine": brand.brand_table(*parts), "brand_pillar": brand.brand_table(*parts, cut="pillar"), "brand_intent": brand.brand_table(*parts, cut="intent")}
     out["no_brand_rate"] = brand.no_brand_rate(answers, mentions)
-    cited = stored(citation.labelled(citations, answers, t["domains"]), "labelled")
+    cited, found = stored_watched(citation.labelled_watched(citations, answers, t["domains"]), "labelled")
+    gather(checks, "labelled", found)
     out["domains"] = citation.domain_table(cited, t["pages"], cfg.engines)
     # as in the citation tables, only citations of known answers count
     out["pages_top"] = citation.page_table(cited, cfg.engines)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities, pages, sentences, urls
@@ -13,9 +13,9 @@ from ..operators import quality
 from ..sources.answers import load_answers, with_sections
 from .compute import compute_all
 from .config import Config
+from .contracts import Watched, contract_rows, gather, hold, stored_watched
 from .publish import Staged, StageStore
 from .schemas import assert_counts
-from .storage import stored
 
 
 def queued(decisions: DataFrame, review: DataFrame) -> DataFrame:
@@ -25,46 +25,66 @@ def queued(decisions: DataFrame, review: DataFrame) -> DataFrame:
     return decisions.unionByName(fresh, allowMissingColumns=True)
 
 
-def read_answers(sheet: DataFrame, reruns: DataFrame | None, cfg: Config) -> dict[str, DataFrame]:
-    """answers, citations and sentences; the counts are checked where the settings expect some."""
-    answers = stored(with_sections(load_answers(sheet, reruns, cfg)), "answers")
-    cited = stored(urls.extract_citations(answers), "citations")
+def _kept(name: str, rows: DataFrame | Watched, checks: dict[str, int] | None) -> DataFrame:
+    """The rows, stored; what the write observes goes to checks."""
+    df, found = stored_watched(rows, name)
+    gather({} if checks is None else checks, name, found)
+    return df
+
+
+def _as_expected(answers: DataFrame, cited: DataFrame, cfg: Config, checks: dict[str, int]) -> None:
+    """Row counts, as the writes have observed them; only if these hold, distinct pages and sites, which take a job."""
+    hold(checks, {k: n for k, n in cfg.expected_counts.items() if k in ("answers", "citations")})
     if cfg.expected_counts:
         assert_counts(answers, cited, cfg.expected_counts)
-    return {"answers": answers, "citations": cited, "sentences": stored(sentences.build_sentences(answers), "sentences")}
+
+
+def read_answers(sheet: DataFrame, reruns: DataFrame | None, cfg: Config, checks: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """answers, citations and sentences; the counts are checked where the settings expect some. checks gets what is observed."""
+    checks = {} if checks is None else checks
+    answers = _kept("answers", with_sections(load_answers(sheet, reruns, cfg)), checks)
+    cited = _kept("citations", urls.extract_citations(answers), checks)
+    _as_expected(answers, cited, cfg, checks)
+    return {"answers": answers, "citations": cited, "sentences": _kept("sentences", sentences.build_sentences(answers), checks)}
 
 
 def _extracted(crawl: DataFrame, cfg: Config) -> DataFrame:
     return pages.extracted(crawl.select("url", "content_kind", "encoding", "body"), cfg.pdf_max_pages)
 
 
-def _page_table(crawl: DataFrame, found: DataFrame, cfg: Config) -> DataFrame:
+def _page_table(crawl: DataFrame, found: DataFrame, cfg: Config) -> Watched:
+    """The pages; that a url has one row is observed, and the tables made of pages are guarded against more."""
     rows = pages.page_rows(crawl.drop("body", "encoding"), found, cfg)
     rendered = F.coalesce(F.col("rendered"), F.lit(False)) if "rendered" in crawl.columns else F.lit(False)
     source = crawl.select("url", F.when(rendered, "rendered").when(F.col("body").isNotNull(), "raw").otherwise("").alias("body_source"))
-    return rows.join(source, "url")
+    pages_ = rows.join(source, "url").withColumn("of_url", F.count("*").over(Window.partitionBy("url")))
+    return Watched(pages_, {"pages_of_repeated_urls": F.col("of_url") > 1}, None, ("of_url",))
 
 
-def read_pages(crawl: DataFrame, brands: list[Brand], cfg: Config) -> dict[str, DataFrame]:
+def read_pages(crawl: DataFrame, brands: list[Brand], cfg: Config, checks: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """pages and page_brand_counts from a crawl (the columns of an attempt, content_kind, and rendered where there is any)."""
-    found = stored(_extracted(crawl, cfg), "extracted")
-    return {"pages": stored(_page_table(crawl, found, cfg), "pages"), "page_brand_counts": stored(entities.brand_counts(found.where("text <> ''"), brands), "page_brand_counts")}
+    found = _kept("extracted", _extracted(crawl, cfg), checks)
+    return {"pages": _kept("pages", _page_table(crawl, found, cfg), checks), "page_brand_counts": _kept("page_brand_counts", entities.brand_counts(found.where("text <> ''"), brands), checks)}
 
 
 def run_all(sheet: DataFrame, reruns: DataFrame | None, crawl: DataFrame, labels: dict[str, DataFrame], brands: list[Brand], cfg: Config, usual: int = 10) -> dict[str, DataFrame]:
     """Inputs, all metric tables and the report's lines. labels: domains, sentiment, ambiguous_hits, sentiment_spotcheck.
 
-    Every input table is computed once and stored. Ambiguous hits that nobody has decided raise ReviewNeeded, whose rows
+    Every input table is computed once and stored; what the writes observe of the contracts is the table `contracts`, and
+    those that no table guards against end the job (ContractError) before it returns anything. Ambiguous hits that nobody has decided raise ReviewNeeded, whose rows
     are the queue with them added; write it, fill it in, and run again.
     """
-    t = labels | read_answers(sheet, reruns, cfg)
-    hits = stored(entities.all_hits(t["sentences"], brands), "hits")
+    checks: dict[str, int] = {}
+    t = labels | read_answers(sheet, reruns, cfg, checks)
+    hits = _kept("hits", entities.all_hits(t["sentences"], brands), checks)
     mentions, review = entities.decided(hits, labels["ambiguous_hits"])
     if n := review.count():
         raise ReviewNeeded(queued(labels["ambiguous_hits"], review), n)
-    t["mentions"] = stored(mentions, "mentions")
-    t |= read_pages(crawl, brands, cfg)
-    return t | compute_all(t, cfg) | {"report": quality.report_lines(t, cfg, usual)}
+    t["mentions"] = _kept("mentions", mentions, checks)
+    t |= read_pages(crawl, brands, cfg, checks)
+    metrics = compute_all(t, cfg, checks)
+    hold(checks)
+    return t | metrics | {"report": quality.report_lines(t, cfg, usual), "contracts": contract_rows(sheet.sparkSession, checks)}
 
 
 def published(store: StageStore, sources: dict[str, Staged], brands: list[Brand], cfg: Config, usual: int = 10) -> dict[str, DataFrame]:
@@ -74,12 +94,17 @@ def published(store: StageStore, sources: dict[str, Staged], brands: list[Brand]
     Undecided ambiguous hits raise ReviewNeeded; stages up to there stay, and only what the decisions touch is done again.
     """
     said = repr((brands, cfg))
-    stage = lambda name, inputs, build, settings=said: store.stage(name, inputs, build, settings)
+    checks: dict[str, int] = {}
+
+    def stage(name: str, inputs: list[Staged], build: Callable[..., DataFrame | Watched], settings: str = said) -> Staged:
+        made = store.stage(name, inputs, build, settings)
+        gather(checks, name, made.observed)  # of a stage that was there already, what its own write observed
+        return made
+
     reruns = [sources["reruns"]] if "reruns" in sources else []
     answers = stage("answers", [sources["sheet"], *reruns], lambda sheet, *r: with_sections(load_answers(sheet, *(r or [None]), cfg)))
     cited = stage("citations", [answers], urls.extract_citations)
-    if cfg.expected_counts:
-        assert_counts(answers.df, cited.df, cfg.expected_counts)
+    _as_expected(answers.df, cited.df, cfg, checks)
     t = {n: sources[n] for n in ("domains", "sentiment", "ambiguous_hits", "sentiment_spotcheck")} | {"answers": answers, "citations": cited}
     t["sentences"] = stage("sentences", [answers], sentences.build_sentences)
     hits = stage("hits", [t["sentences"]], lambda s: entities.all_hits(s, brands))
@@ -98,7 +123,10 @@ def published(store: StageStore, sources: dict[str, Staged], brands: list[Brand]
     def metric(name: str) -> Callable[..., DataFrame]:
         def build(*dfs: DataFrame) -> DataFrame:
             if not tables:  # what several tables share is computed once in a run, and only if one is missing
-                tables.update(compute_all(frames(dfs), cfg))
+                seen: dict[str, int] = {}
+                made = compute_all(frames(dfs), cfg, seen)
+                hold(seen)  # a broken contract leaves no metric stage behind, so that a restart meets it again
+                tables.update(made)
             return tables[name]
 
         return build

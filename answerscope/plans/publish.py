@@ -18,13 +18,22 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contracts import Watched, observing
+
+
+#: Part of every digest: stages of another form of the store are none of this one.
+FORM = 2
+#: A stage's observations, in a file that readers of its folder pass over.
+OBSERVED = "_observed.json"
+
 
 class Staged(NamedTuple):
-    """A stage's rows, the digest of what they are made from, and where they lie."""
+    """A stage's rows, the digest of what they are made from, where they lie, and what their write has observed."""
 
     df: DataFrame
     digest: str
     path: str
+    observed: dict[str, int] = {}
 
 
 class StageStore:
@@ -52,18 +61,21 @@ class StageStore:
         df = (reader.schema(schema) if schema else reader).load(path)
         return Staged(df, hashlib.sha256(json.dumps([sorted(found), schema, format, sorted(options.items())]).encode()).hexdigest(), path)
 
-    def stage(self, name: str, inputs: list[Staged], build: Callable[..., DataFrame], settings: str = "") -> Staged:
-        """build(*frames of inputs), or what an earlier run has made of the same inputs and settings."""
-        digest = hashlib.sha256(json.dumps([name, settings, [i.digest for i in inputs]]).encode()).hexdigest()
+    def stage(self, name: str, inputs: list[Staged], build: Callable[..., DataFrame | Watched], settings: str = "") -> Staged:
+        """build(*frames of inputs), or what an earlier run has made of the same inputs and settings; what the write observes
+        (rows, breaks of contracts) lies beside the rows."""
+        digest = hashlib.sha256(json.dumps([FORM, name, settings, [i.digest for i in inputs]]).encode()).hexdigest()
         place = f"stages/{name}-{digest[:24]}"
         if not self.fs.exists(self._path(f"{place}/_SUCCESS")):
             aside = f"aside/{name}-{uuid.uuid4().hex}"
-            build(*[i.df for i in inputs]).write.parquet(f"{self.root}/{aside}")
+            df, seen = observing(build(*[i.df for i in inputs]))
+            df.write.parquet(f"{self.root}/{aside}")
+            self._write(self._path(f"{aside}/{OBSERVED}"), dict(seen.get))
             self.fs.mkdirs(self._path("stages"))
             if not self.fs.rename(self._path(aside), self._path(place)) and not self.fs.exists(self._path(f"{place}/_SUCCESS")):
                 raise RuntimeError(f"{place} could not be put in place")
             self.built.append(name)
-        return Staged(self.spark.read.parquet(f"{self.root}/{place}"), digest, f"{self.root}/{place}")
+        return Staged(self.spark.read.parquet(f"{self.root}/{place}"), digest, f"{self.root}/{place}", self._json(f"{place}/{OBSERVED}"))
 
     def _runs(self) -> list[int]:
         folder = self._path("published")
@@ -80,15 +92,26 @@ class StageStore:
         number = runs[-1] + 1 if runs else 0
         aside, place = self._path(f"aside/{uuid.uuid4().hex}.json"), self._path(f"published/{number}.json")
         self.fs.mkdirs(self._path("published"))
-        out = self.fs.create(aside, True)
-        out.write(bytearray(json.dumps(said).encode()))
-        out.close()
+        self._write(aside, said)
         if self.fs.exists(place) or not self.fs.rename(aside, place):
             raise RuntimeError(f"another run has published {place}")
         return number
 
+    def _write(self, path, said: dict) -> None:
+        out = self.fs.create(path, True)
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+
+    def _json(self, name: str) -> dict:
+        """A small file of the store, read by the driver without a job."""
+        file = self.fs.open(self._path(name))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        finally:
+            file.close()
+
     def _manifest(self, number: int) -> dict[str, str]:
-        return json.loads(self.spark.read.text(f"{self.root}/published/{number}.json", wholetext=True).first()[0])
+        return self._json(f"published/{number}.json")
 
     def read(self, number: int | None = None) -> dict[str, DataFrame]:
         """The tables of the last publication, or of a given one."""

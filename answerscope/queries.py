@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import brand, citation, facts, page, quality, reshape, score
 from .plans import bindings as B
-from .plans import schemas
+from .plans import contracts, schemas
 
 ENGINES = B.CFG.engines
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,19 @@ def guarded(s: SparkSession, d: str) -> DataFrame:
     return page.page_facts(repeated_pages(s, d), B.domains(s, d), B.CFG.run_date, B.CFG.recency_bins)
 
 
+def broken_contracts(s: SparkSession, d: str) -> DataFrame:
+    """What writing labelled citations and answers' brands observes where a part of the answers, sentences and labels is
+    missing, and another stands twice."""
+    answers, sentences, domains = B.answers(s, d).where("engine <> 'P'"), B.sentences(s, d).where("sent_idx <> 1"), B.domains(s, d)
+    answers = answers.unionByName(answers.where("prompt_no % 10 = 0"))
+    sentences = sentences.unionByName(sentences.where("sent_idx = 2"))
+    domains = domains.where("domain_type <> 'EUROPE'").unionByName(domains.where("domain_type = 'ASIA'"))
+    checks: dict[str, int] = {}
+    contracts.gather(checks, "labelled", contracts.checked_only(citation.labelled_watched(B.citations(s, d), answers, domains)))
+    contracts.gather(checks, "answer_brands", contracts.checked_only(brand.answer_brands_watched(sentences, B.mentions(s, d))))
+    return contracts.contract_rows(s, checks)
+
+
 def pillar_counts(s: SparkSession, d: str) -> DataFrame:
     """Prompts of one market segment count as branded here."""
     a = B.answers(s, d)
@@ -119,6 +132,7 @@ STAR: dict[str, Query] = {
     "dated_citations": lambda s, d: facts.dated(page.recency(page_facts(s, d), B.citations(s, d))),
     "compare_prompt": lambda s, d: facts.compare_prompt(B.answers(s, d), B.mentions(s, d), 13),
     "expected_counts": lambda s, d: schemas.counts(B.answers(s, d), B.citations(s, d)),
+    "contracts_observed": broken_contracts,
     "mentions_without_answer": lambda s, d: schemas.subset(B.mentions(s, d), B.answers(s, d).where("engine <> 'P'"), ["answer_id"]),
     "override_by_key": lambda s, d: reshape.override(B.answers(s, d).select("answer_id", "prompt_no", "pillar"), B.answers(s, d).where("pillar = '5-LOW'").select("answer_id", F.lit("changed").alias("pillar")), ["answer_id"], "pillar"),
     "unpivot_engines": lambda s, d: reshape.unpivot_engines(B.read(s, d, "customer").select("c_custkey", F.col("c_name").alias("F"), F.col("c_mktsegment").alias("O")), ["c_custkey"], ["F", "O"], "text"),
