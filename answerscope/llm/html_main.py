@@ -3,8 +3,9 @@
 A page is a row of tokens: words by where they stand (in the article, its links included; beside it; or, on a page
 without one, in a link or not), start tags by name, and boilerplate elements, which count as one token each. Words of
 content score positive, tags and obstacles negative; every score is learned from labelled pages. One linear scan finds
-the contiguous stretch of largest score (the first of several, without tokens at its ends that add nothing). All its
-words are the text; references are decoded, white space inside a block becomes one space, and blocks are joined by line
+the contiguous stretch of largest score (the first of several, without tokens at its ends that add nothing). A page with
+words in article or main and beside them has two readings, with and without these elements, and the one whose stretch
+scores more is taken. All its words are the text; references are decoded, white space inside a block becomes one space, and blocks are joined by line
 feeds in page order. Nothing in the stretch is dropped but boilerplate elements.
 
 What is boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts, ...) is learned
@@ -89,28 +90,30 @@ def judged(name: str, attributes: str, in_article: bool, at: int = 0) -> bool:
     return _odds(name, attributes, in_article) > 0
 
 
-def tokens(page: str, judge: Judge = judged) -> list[tuple[int, str, str, int]]:
-    """(WORD, place, text run, its place in the page) and (TAG, name, "", place) in page order; a run is of one element, undecoded.
+#: (WORD, place, text run, its place in the page) and (TAG, name, "", place); a run is of one element, undecoded.
+Token = tuple[int, str, str, int]
 
-    An end tag is (TAG, "/name"), a boilerplate element (WORD, "boilerplate", its name). Words beside article and main are 'outside' if the
-    largest of these elements has at least as many words. With less, they are teasers, comments or the like, and the
-    page is read as one without an article.
+
+def tokens(page: str, judge: Judge = judged) -> list[Token]:
+    """A page's tokens in page order, in its first reading.
+
+    An end tag is (TAG, "/name"), a boilerplate element (WORD, "boilerplate", its name). Words beside article and main are
+    'outside' where there are words in these.
     """
     row = list(_placed(page, True, judge))
-    sizes: Counter[int] = Counter()
-    plain = 0
-    for kind, place, run, _, part in row:
-        if kind == WORD and part and place != "boilerplate":
-            sizes[part] += count_words(run)
-        elif kind == WORD and place == "plain":
-            plain += count_words(run)
-    largest = max(sizes.values(), default=0)
-    articles = largest > 0 and largest >= plain
-    if plain and not articles and any(part for *_, part in row):
-        row = list(_placed(page, False, judge))
+    articles = any(kind == WORD and part and place != "boilerplate" and run.strip() for kind, place, run, _, part in row)
     return [(kind, "outside" if articles and kind == WORD and not part and place != "boilerplate" else place, run, at) for kind, place, run, at, part in row]
 
 
+def readings(page: str, judge: Judge = judged) -> Iterator[list[Token]]:
+    """The page as its elements article and main tell, and, where words stand beside these, as one without them: they may
+    hold teasers, comments or the like. Which reading holds is left to the scores."""
+    first = tokens(page, judge)
+    yield first
+    if any(kind == WORD and place == "outside" and run.strip() for kind, place, run, _ in first):
+        yield [(kind, place, run, at) for kind, place, run, at, _ in _placed(page, False, judge)]
+
+
 def _placed(page: str, articles: bool, judge: Judge) -> Iterator[tuple[int, str, str, int, int]]:
     """Tokens with the number of the outermost article or main around a word (0: none; all are if not articles)."""
     stack: list[tuple[str, int]] = []  # with the number of open boilerplate elements outside of each
@@ -424,7 +427,7 @@ def weights() -> dict[tuple[int, str], float]:
     return learned()[2]
 
 
-def score(token: tuple[int, str, str, int], w: dict[tuple[int, str], float]) -> float:
+def score(token: Token, w: dict[tuple[int, str], float]) -> float:
     """A run of words counts for each word, an obstacle and a start tag once (one never seen like a div); end tags only part blocks."""
     kind, name, run, _ = token
     if kind == TAG:
@@ -447,10 +450,14 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    row = tokens(page)
-    start, end = best_stretch([score(token, weights()) for token in row])
+    found: list[tuple[float, list[Token]]] = []
+    for row in readings(page):
+        scores = [score(token, weights()) for token in row]
+        start, end = best_stretch(scores)
+        found.append((math.fsum(scores[start:end]), row[start:end]))
+    _, stretch = max(found, key=lambda f: f[0])  # the first reading of equal ones
     blocks: list[list[str]] = [[]]
-    for kind, name, run, _ in row[start:end]:
+    for kind, name, run, _ in stretch:
         if kind == TAG:
             if name.removeprefix("/") in BLOCKS:
                 blocks.append([])
