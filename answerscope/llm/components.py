@@ -21,7 +21,8 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), both of one ordered type -> (node, root) for every node of an edge; root is the least node.
 
-    Rounds go on until one changes nothing. Each moves edges to lesser nodes, so there is a last one; their number grows
+    Rounds go on until one changes nothing: its edges, as many as before and all different, are all among those. (Counts and
+    sums of hashes only tell when to look.) Each moves edges to lesser nodes, so there is a last one; their number grows
     with the logarithm of the longest path, squared at most.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -32,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+        last, edges = edges, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
         after = _mark(edges)
-        if after == before:
+        if after == before and edges.join(last, ["a", "b"], "left_anti").isEmpty():
             break
         before = after
     # at the fixed point every edge leads from a node to its component's least one

@@ -649,3 +649,13 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     left, right = names[:151].tolist(), names[151:].tolist()
     assert got == {n: min(left) for n in left} | {n: min(right) for n in right} | {500: 500, 501: 500}
+
+
+def test_rounds_of_components_whose_marks_agree(spark, monkeypatch):
+    """The end is told by the edges themselves, even if every round had the same mark."""
+    from answerscope.llm import components
+
+    monkeypatch.setattr(components, "_mark", lambda edges: (1, 0))
+    edges = [(k, k + 1) for k in range(40)] + [(90, 91)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) | {90: 90, 91: 90}
