@@ -27,3 +27,28 @@ def test_attribution(spark):
 def test_thresholds_and_stopwords(spark):
     assert rows(spark, threshold=0.9)["a", 0] == (None, 0.8, 0.8, False)
     assert rows(spark, stopwords=("is", "on"))["a", 0] == ("u1", 0.667, 0.667, True)  # green tea, tea grown of three pairs
+
+
+def test_cited_pages_are_not_spread_out_by_gram(spark):
+    """Long pages that many answers cite, against brute force; what goes through the plan is no row for each gram of each cited page."""
+    import random
+
+    draw = random.Random(3)
+    text = lambda n: " ".join(f"w{draw.randrange(900)}" for _ in range(n))
+    pages = {f"u{k}": text(4000) for k in range(6)}
+    said = [(a, i, text(draw.randrange(2, 30))) for a in range(30) for i in range(4)]
+    said += [(a, 4, " ".join(pages[f"u{a % 6}"].split()[a : a + 9])) for a in range(30)]
+    cites = [(a, r, f"u{(a * r) % 6}") for a in range(30) for r in range(1, 5)]
+    made = attributed(spark.createDataFrame(said, "answer_id long, sent_idx int, text string"), spark.createDataFrame(cites, "answer_id long, rank int, url string"), spark.createDataFrame(list(pages.items()), "url string, text string"))
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    has = {u: (set(t.split()), pairs(t.split())) for u, t in pages.items()}
+    want = {}
+    for a, i, t in said:
+        w = t.split()
+        own = pairs(w) if len(w) > 2 else set(w)
+        rank = {u: min(r for b, r, v in cites if (b, v) == (a, u)) for b, _, u in cites if b == a}
+        top = sorted(((-len(own & has[u][len(w) > 2]) / len(own), r, u) for u, r in rank.items() if own & has[u][len(w) > 2])) + [(0.0, 0, None)] * 2
+        want[a, i] = (top[0][2] if -top[0][0] >= 0.3 else None, round(-top[0][0], 6), round(-top[1][0], 6))
+    assert {(r.answer_id, r.sent_idx): (r.best_url, round(r.score, 6), round(r.second_score, 6)) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "explode(grams" not in plan
