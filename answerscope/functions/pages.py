@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -155,7 +154,7 @@ def extract_html(html: str, url: str = "") -> dict:
     if not published:
         published, _ = evidence.best(evidence.gathered(r.times, r.meta, url, text))
         source = "htmldate" if published else ""
-    return {"title": " ".join(unescape(r.title).split()), "text": text, "n_words": len(text.split()), "published_date": published, "date_source": source, "schema_types": sorted(set(types)), "n_pages": None, "error": ""}
+    return {"title": " ".join(r.title.split()), "text": text, "n_words": len(text.split()), "published_date": published, "date_source": source, "schema_types": sorted(set(types)), "n_pages": None, "error": ""}
 
 
 def extracted(bodies: DataFrame, pdf_max_pages: int = 300) -> DataFrame:

@@ -69,3 +69,9 @@ def test_dates_by_evidence():
     later = evidence.gathered([("2030-01-01", True)], {}, "", "4 May 2024")
     assert evidence.best(later) == ("2030-01-01", 6) and evidence.best(later, date(2026, 1, 1)) == ("2024-05-04", 1)
     assert evidence.best([]) == ("", 0)
+
+
+def test_titles_are_decoded_once():
+    title = lambda t: pages.extract_html(f"<title>{t}</title>", "")["title"]
+    assert title("a &amp;lt; b &amp;amp; c &lt;") == "a &lt; b &amp; c <"
+    assert title("black&amp") == "black&"  # a reference that HTML knows without its semicolon
