@@ -113,15 +113,22 @@ def markdown_answers(s: SparkSession, d: str) -> DataFrame:
     return B.read(s, d, "part").select(F.col("p_partkey").alias("answer_id"), F.concat_ws("\n", *lines).alias("answer_body"))
 
 
-def jsonld_fields(s: SparkSession, d: str) -> DataFrame:
-    """Types and dates by VARIANT alone, each block in as many graphs, two levels each, as its nation says."""
+def jsonld_pages(s: SparkSession, d: str) -> DataFrame:
+    """Structured data in its usual nestings, each block in as many graphs, two levels each, as its nation says."""
     k, day = F.col("n_nationkey"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey")), "yyyy-MM-dd")
-    block = F.when(k % 4 == 0, joined('{"@type": ["NewsArticle", "Thing"], "datePublished": "', day, 'T01:02"}')).when(k % 4 == 1, '{"@type": "FAQPage", "mainEntity": [{"@type": "Question"}, {"@type": "FAQPage"}]}')
+    graph = joined('{"@graph": [{"@type": "NewsArticle", "datePublished": "', day, 'T01:02"}, {"@type": ["Corporation", "Thing"]}]}')
+    block = F.when(k % 4 == 0, graph).when(k % 4 == 1, '{"@type": "FAQPage", "mainEntity": [{"@type": "Question"}, {"@type": "FAQPage"}]}')
     block = block.when(k % 4 == 2, '{"@type": broken').otherwise(joined('{"zeta": {"datePublished": "soon"}, "about": {"@type": "Report", "datePublished": " ', day, '"}, "alpha": {"datePublished": "2001-01-01"}}'))
     deep = F.aggregate(F.sequence(F.lit(1), k + 2), block, lambda acc, _: joined('{"@graph": [1, "[", ', acc, "]}"))
-    html = joined("<head><meta property='article:published_time' content='2023-05-06T07:08'><script type='application/ld+json'>", deep, "</script></head>")
-    found = jsonld.fields(nations(s, d).select(F.col("n_name").alias("url"), html.alias("html")))
-    return found.select("url", "published_date", "date_source", F.array_join("types", ";").alias("types"))
+    html = joined("<html><head><title> ", F.col("n_name"), " &amp; co </title><meta property='article:published_time' content='2023-05-06T07:08'><script type='application/ld+json'>", deep, "</script></head><body><nav>Menu of words</nav><p>", F.repeat(F.lit("leaf "), k.cast("int")), "</p></body></html>")
+    return nations(s, d).select(F.col("n_name").alias("url"), html.alias("html"))
+
+
+def jsonld_fields(s: SparkSession, d: str) -> DataFrame:
+    """Types and dates by VARIANT alone, titles and words by the reader of pages."""
+    made = jsonld_pages(s, d)
+    read = pages.extracted(made.select("url", F.lit("html").alias("content_kind"), F.lit("").alias("encoding"), F.col("html").cast("binary").alias("body"))).select("url", "title", "n_words")
+    return jsonld.fields(made).join(read, "url").select("url", "title", "n_words", "published_date", "date_source", F.array_join("types", ";").alias("types"))
 
 
 def date_sources(s: SparkSession, d: str) -> DataFrame:

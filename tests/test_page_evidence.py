@@ -75,3 +75,17 @@ def test_titles_are_decoded_once():
     title = lambda t: pages.extract_html(f"<title>{t}</title>", "")["title"]
     assert title("a &amp;lt; b &amp;amp; c &lt;") == "a &lt; b &amp; c <"
     assert title("black&amp") == "black&"  # a reference that HTML knows without its semicolon
+
+
+def test_jsonld_query_reads_whole_pages(spark):
+    """Titles, words and both parts of a graph, as in the query's first form."""
+    from pathlib import Path
+
+    from answerscope.queries import queries
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test data")
+    rows = {r.n_words: r for r in queries()["jsonld_fields"](spark, str(data)).collect()}
+    assert len(rows) == 25 and rows[4].title.endswith(" & co")
+    assert (rows[4].types, rows[4].published_date, rows[7].types, rows[6].date_source) == ("Corporation;NewsArticle;Thing", "2024-01-05", "Report", "meta")
