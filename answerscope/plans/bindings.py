@@ -17,9 +17,29 @@ SITES = 40  # of which nations label 25
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+#: Bytes that a task after a shuffle takes, where the session has left Spark's own bound. A task sorts and groups them in memory.
+TASK = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+TASK_BYTES, SPARKS = 16 << 20, 64 << 20
+#: Partitions before Spark joins small ones: one for each so many bytes of a table's files, as rows take some four times as many in a shuffle.
+FIRST, FILE_BYTES = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    bound_tasks(spark, path)
+    return spark.read.parquet(path)
+
+
+def bound_tasks(spark: SparkSession, path: str) -> None:
+    """The number of partitions grows with the table, so that what one task holds doesn't."""
+    if spark.conf.get(TASK) in ("64MB", str(SPARKS), f"{SPARKS}b"):
+        spark.conf.set(TASK, str(TASK_BYTES))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    least = int(spark.conf.get(FIRST, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if size > least * FILE_BYTES:
+        spark.conf.set(FIRST, str(-(-size // FILE_BYTES)))
 
 
 def url_of(part):

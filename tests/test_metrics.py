@@ -158,3 +158,19 @@ def test_config_is_checked():
     for bad in ({"recency_bins": [3, 2, 1]}, {"vis_weights": {"pawc": 1}}, {"other": 1}):
         with pytest.raises(ValueError):
             Config.of(bad)
+
+
+def test_partitions_grow_with_tables(spark, tmp_path, monkeypatch):
+    """A large table is dealt to more tasks after a shuffle, a small one to as many as the session says."""
+    from answerscope.plans import bindings
+
+    spark.range(50_000).write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get(bindings.FIRST, None)
+    try:
+        bindings.read(spark, str(tmp_path), "orders")
+        assert spark.conf.get(bindings.FIRST, None) == before and int(spark.conf.get(bindings.TASK).rstrip("b")) == bindings.TASK_BYTES
+        monkeypatch.setattr(bindings, "FILE_BYTES", 10_000)
+        bindings.read(spark, str(tmp_path), "orders")
+        assert int(spark.conf.get(bindings.FIRST)) > 4
+    finally:
+        spark.conf.unset(bindings.FIRST)
