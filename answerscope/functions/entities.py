@@ -171,23 +171,34 @@ class ReviewNeeded(RuntimeError):
         self.rows, self.n = rows, n
 
 
+HIT = ["answer_id", "sent_idx", "alias", "char_pos"]
+
+
+def _undecided(hits: DataFrame, decisions: DataFrame) -> DataFrame:
+    """HIT and the hash of the text, for every ambiguous hit without a decision."""
+    named = hits.where("ambiguous").withColumnRenamed("alias_matched", "alias").select(*HIT, F.xxhash64("text").alias("h"))
+    return named.join(decisions.select(*HIT), HIT, "left_anti")
+
+
 def decided(hits: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mentions, rows to review). An ambiguous hit counts if its decision is keep; an undecided one is for review."""
-    keys = ["answer_id", "sent_idx", "alias", "char_pos"]
-    known = decisions.select(*keys, F.coalesce("decision", F.lit("")).alias("decision"))
-    joined = hits.withColumnRenamed("alias_matched", "alias").join(known, keys, "left")
-    mentions = joined.where(~F.col("ambiguous") | (F.col("decision") == "keep"))
-    review = joined.where(F.col("ambiguous") & F.col("decision").isNull())
+    """(mentions, rows to review). An ambiguous hit counts if its decision is keep; an undecided one is for review.
+
+    Hits meet decisions without their texts; a text that has hits to review is joined to them once, told from others of its place by its hash.
+    """
+    known = decisions.select(*HIT, F.coalesce("decision", F.lit("")).alias("decision"))
+    mentions = hits.drop("text").withColumnRenamed("alias_matched", "alias").join(known, HIT, "left").where(~F.col("ambiguous") | (F.col("decision") == "keep"))
+    texts = hits.where("ambiguous").select(F.col("answer_id").alias("a"), F.col("sent_idx").alias("i"), F.col("text").alias("sentence")).distinct().withColumn("of", F.xxhash64("sentence"))
+    review = _undecided(hits, decisions).join(texts, F.col("answer_id").eqNullSafe(F.col("a")) & F.col("sent_idx").eqNullSafe(F.col("i")) & (F.col("h") == F.col("of")))
     return (
         mentions.select("answer_id", "sent_idx", "brand", "sub_brand", F.col("alias").alias("alias_matched"), "char_pos"),
-        review.select(*keys, F.col("text").alias("sentence"), F.lit("").alias("decision"), F.lit("").alias("note")),
+        review.select(*HIT, "sentence", F.lit("").alias("decision"), F.lit("").alias("note")),
     )
 
 
 def gated(hits: DataFrame, decisions: DataFrame) -> DataFrame:
     """The mentions, or ReviewNeeded if any ambiguous hit is undecided."""
     mentions, review = decided(hits, decisions)
-    if n := review.count():
+    if n := _undecided(hits, decisions).count():
         raise ReviewNeeded(review, n)
     return mentions
 

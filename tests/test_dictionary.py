@@ -87,3 +87,15 @@ def test_fifty_thousand_aliases(spark, monkeypatch):
 def test_an_empty_dictionary_and_empty_tables(spark):
     df = spark.createDataFrame([(1, 0, "a")], "answer_id int, sent_idx int, text string")
     assert entities.all_hits(df, []).count() == 0 and entities.all_hits(df.limit(0), [Brand("A", None, "t", ("a",))]).count() == 0
+
+
+def test_review_meets_decisions_without_texts(spark):
+    """Several texts at one place, the same one twice, and a place without an id; a text is joined once and not for each hit."""
+    texts = [("a", 0, "a sip, a sip"), ("a", 0, "my sip"), ("b", 1, "sip sip"), ("b", 1, "sip sip"), (None, 0, "sip")]
+    hits = entities.all_hits(spark.createDataFrame(texts, "answer_id string, sent_idx int, text string"), [Brand("S", None, "t", ("sip",), False, ("sip",))])
+    known = spark.createDataFrame([("a", 0, "sip", 2, "keep"), ("b", 1, "sip", 0, None), ("b", 1, "sip", 0, "reject")], "answer_id string, sent_idx int, alias string, char_pos int, decision string")
+    mentions, review = entities.decided(hits, known)
+    assert Counter((r.answer_id, r.char_pos, r.sentence) for r in review.collect()) == Counter([("a", 9, "a sip, a sip"), ("a", 3, "my sip"), ("b", 4, "sip sip"), ("b", 4, "sip sip"), (None, 0, "sip")])
+    assert [(r.answer_id, r.char_pos) for r in mentions.collect()] == [("a", 2)]
+    plan = review._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join LeftOuter" not in plan
