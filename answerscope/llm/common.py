@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shipping import ship
+from ..plans.shipping import bound_batches, ship
 from ..plans.storage import new_path, shared_dir, stored
 
 __all__ = ["arrow", "marked", "new_path", "partitions", "shared_dir", "ship", "stored", "table"]
 
-#: Bytes of an Arrow batch that goes to a Python worker (one row at least), where the session has left Spark's own bound.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES, SPARKS = 2 << 20, 64 << 20
-#: Rows that the Parquet reader decodes at once, likewise: its buffers hold so many whole texts.
+#: Rows that the Parquet reader decodes at once, where the session has left Spark's own number: its buffers hold so many whole texts.
 READ = "spark.sql.parquet.columnarReaderBatchSize"
 READ_ROWS, SPARKS_ROWS = 512, 4096
 #: Bits of the map of marked keys: BITS_A_KEY for each, MOST_BITS (16 MB) in all.
@@ -35,9 +32,7 @@ def partitions(spark: SparkSession) -> int:
 
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow in batches of bounded bytes: a worker holds a few MB of texts, however long its partition is."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH) in (str(SPARKS), f"{SPARKS}b"):
-        conf.set(BATCH, str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -99,3 +99,12 @@ def test_review_meets_decisions_without_texts(spark):
     assert [(r.answer_id, r.char_pos) for r in mentions.collect()] == [("a", 2)]
     plan = review._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "Join LeftOuter" not in plan
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """Reading texts and looking for names in them sends a few MB at once to a Python worker, if the session has no bound of its own."""
+    from answerscope.plans import shipping
+
+    spark.conf.set(shipping.BATCH, shipping.SPARKS)
+    entities.all_hits(spark.createDataFrame([("a", 0, "sip")], "answer_id string, sent_idx int, text string"), [Brand("S", None, "t", ("sip",))])
+    assert int(spark.conf.get(shipping.BATCH).rstrip("b")) == shipping.BATCH_BYTES
