@@ -141,11 +141,9 @@ def _line_text(line: Column) -> Column:
     row = F.array_join(cells, " ")
     item = inline(F.regexp_replace(line, LIST, ""))
     plain = inline(F.regexp_replace(line, r"(?U)^\s*#{1,6}\s*", ""))
-    return (
-        F.when(text.startswith("|"), F.when(row != "", F.concat(F.lit(ITEM), row)))
-        .when(line.rlike(LIST), F.when(item != "", F.concat(F.lit(ITEM), item)))
-        .when((plain != "") & ~plain.rlike(r"(?U)^\d+[.)]?$") & plain.rlike(r"(?U)\w"), plain)
-    )
+    marked = lambda x: bound(x, lambda v: F.when(v != "", F.concat(F.lit(ITEM), v)))
+    said = bound(plain, lambda v: F.when((v != "") & ~v.rlike(r"(?U)^\d+[.)]?$") & v.rlike(r"(?U)\w"), v))  # cleaned once, and not for each question
+    return F.when(text.startswith("|"), marked(row)).when(line.rlike(LIST), marked(item)).otherwise(said)
 
 
 def clean_lines(body: Column) -> Column:

@@ -271,3 +271,9 @@ def test_leading_breaks_and_images_go_and_all_else_stays(spark):
     assert clean("<br>\n\n <br/>One\n<br />two<BR>three") == "One two three"
     assert clean("a [b](c) ![d](e) f [g] [h](") == "a b f [g] [h]("
     assert clean("![x](http://h/s2/favicons?a)\nChip\n\nA text that is long enough to stay") == "A text that is long enough to stay"
+
+
+def test_a_line_is_cleaned_once(spark):
+    """What is asked of a clean line is asked of one value, whatever the optimizer leaves twice."""
+    plan = spark.createDataFrame([("# a",)], "t string").select(sentences.clean_lines(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("#{1,6}") == 1
