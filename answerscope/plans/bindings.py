@@ -22,6 +22,8 @@ TASK = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 TASK_BYTES, SPARKS = 16 << 20, 64 << 20
 #: Partitions before Spark joins small ones: one for each so many bytes of a table's files, as rows take some four times as many in a shuffle.
 FIRST, FILE_BYTES = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", 4 << 20
+#: Their number where the session joins none: Spark doesn't look at FIRST then.
+FIXED, JOINS = "spark.sql.shuffle.partitions", ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,10 @@ def bound_tasks(spark: SparkSession, path: str) -> None:
         spark.conf.set(TASK, str(TASK_BYTES))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    least = int(spark.conf.get(FIRST, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    number = FIRST if all(spark.conf.get(c).lower() == "true" for c in JOINS) else FIXED
+    least = int(spark.conf.get(number, None) or spark.conf.get(FIXED))
     if size > least * FILE_BYTES:
-        spark.conf.set(FIRST, str(-(-size // FILE_BYTES)))
+        spark.conf.set(number, str(-(-size // FILE_BYTES)))
 
 
 def url_of(part):

@@ -174,3 +174,21 @@ def test_partitions_grow_with_tables(spark, tmp_path, monkeypatch):
         assert int(spark.conf.get(bindings.FIRST)) > 4
     finally:
         spark.conf.unset(bindings.FIRST)
+
+
+@pytest.mark.parametrize("off", ["spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"])
+def test_partitions_grow_where_none_are_joined(spark, tmp_path, monkeypatch, off):
+    """The step that brand tables share takes more tasks for a larger table in a session that keeps the partitions it begins with."""
+    from answerscope.plans import bindings
+
+    monkeypatch.setattr(bindings, "FILE_BYTES", 10_000)
+    spark.range(50_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = {c: spark.conf.get(c, None) for c in (off, "spark.sql.shuffle.partitions", bindings.FIRST)}
+    spark.conf.set(off, "false")
+    try:
+        lines = bindings.read(spark, str(tmp_path), "lineitem")
+        most = max(lines.groupBy("id").count().groupBy(F.spark_partition_id().alias("p")).count().collect(), key=lambda r: r["count"])
+        assert most["count"] < 50_000 / 10 and spark.conf.get(bindings.FIRST, None) == before[bindings.FIRST]
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value) if value else spark.conf.unset(c)
