@@ -22,7 +22,9 @@ TASK = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 TASK_BYTES, SPARKS = 16 << 20, 64 << 20
 #: Partitions before Spark joins small ones: one for each so many bytes of a table's files, as rows take some four times as many in a shuffle.
 FIRST, FILE_BYTES = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", 4 << 20
-#: Their number where the session joins none: Spark doesn't look at FIRST then.
+#: Bytes of files that one task reads, where the session has left Spark's own bound: with more than 200 partitions to write to, a task keeps its rows to sort them.
+SPLIT, SPLIT_BYTES, SPARKS_SPLIT = "spark.sql.files.maxPartitionBytes", 32 << 20, 128 << 20
+#: Partitions' number where the session joins none: Spark doesn't look at FIRST then.
 FIXED, JOINS = "spark.sql.shuffle.partitions", ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
 
 
@@ -37,6 +39,8 @@ def bound_tasks(spark: SparkSession, path: str) -> None:
     """The number of partitions grows with the table, so that what one task holds doesn't."""
     if spark.conf.get(TASK) in ("64MB", str(SPARKS), f"{SPARKS}b"):
         spark.conf.set(TASK, str(TASK_BYTES))
+    if spark.conf.get(SPLIT) in ("128MB", str(SPARKS_SPLIT), f"{SPARKS_SPLIT}b"):
+        spark.conf.set(SPLIT, str(SPLIT_BYTES))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
     number = FIRST if all(spark.conf.get(c).lower() == "true" for c in JOINS) else FIXED

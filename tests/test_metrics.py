@@ -192,3 +192,21 @@ def test_partitions_grow_where_none_are_joined(spark, tmp_path, monkeypatch, off
     finally:
         for c, value in before.items():
             spark.conf.set(c, value) if value else spark.conf.unset(c)
+
+
+def test_readers_take_little_of_a_table(spark, tmp_path):
+    """A task that reads a table and deals its rows to many partitions holds them: Spark's own 128 MB of files is too much."""
+    from answerscope.plans import bindings
+
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.range(10).write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        spark.conf.unset(split)
+        bindings.read(spark, str(tmp_path), "lineitem")
+        assert int(spark.conf.get(split).rstrip("b")) <= 32 << 20
+        spark.conf.set(split, "16m")
+        bindings.read(spark, str(tmp_path), "lineitem")
+        assert spark.conf.get(split) in ("16m", f"{16 << 20}b")
+    finally:
+        spark.conf.set(split, before)
